@@ -21,10 +21,13 @@ from pyspark.sql.types import StringType
 from vectide.llm.common import blocks, bounded_batches
 from vectide.llm.quality_rules import stats_of
 
-FIT_ROWS, BITS, ROUNDS = 8_000, 14, 150
+FIT_ROWS, BITS, ROUNDS, PRIOR = 8_000, 14, 150, 0.5
 GOOD, BAD, ABSTAIN = 1, 0, 2
 _SHAPE = bytes.maketrans(bytes(range(256)), bytes(0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x41 if 0x41 <= b <= 0x5A else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256)))
 
+#: Bytes that words of prose end in.
+_ENDS = frozenset(b for b in range(256) if chr(b).isalnum() or b >= 0x80 or chr(b) in ".,;:?)\"'")
+
 
 def _vote(x: float, good: float, bad: float) -> int:
     """good and bad are bounds: x at most good (or at least, if good > bad) votes good, beyond bad votes bad."""
@@ -38,14 +41,14 @@ def votes_of(text: str) -> list[int]:
     if n < 5:
         return [ABSTAIN] * 8
     lines = max(1, text.count("\n") + 1)
-    ends = sum(w[-1:] in b".,;:?" for w in words) / n
+    ends = sum(w[-1] in _ENDS for w in words) / n
     return [
         _vote(base["n_symbols"] / chars, 0.005, 0.03),
         _vote(classes[1] / max(1, classes[0] + classes[1] + classes[6]), 0.15, 0.4),
         _vote(base["n_repeat_words"] / n, 0.15, 0.4),
         _vote(base["n_dup_lines"] / lines, 0.1, 0.4) if lines >= 3 else ABSTAIN,
         _vote(len(set(words)) / n, 0.35, 0.2) if n >= 30 else ABSTAIN,
-        GOOD if 0.02 <= ends <= 0.35 else BAD if ends > 0.7 or (ends < 0.005 and n >= 100) else ABSTAIN,
+        _vote(ends, 0.85, 0.7),
         _vote(sum(w in (b"|", b"-", b"*", b">") for w in words) / n, 0.02, 0.15),
         _vote(sum(w.endswith(b"!") for w in words) / n, 0.05, 0.3),
     ]
@@ -56,40 +59,46 @@ def _votes(texts: pa.Array) -> pa.Array:
     return pa.array(["".join(map(str, votes_of(t))) for b in blocks(texts) for t in b], type=pa.string())
 
 
-def estimate(patterns: list[tuple[str, int]], rounds: int = 200) -> dict:
-    """{"share": of good documents, "p": [class, labeller, vote], "posterior": {pattern: P(good)}}."""
+def estimate(patterns: list[tuple[str, int]], rounds: int = 200, prior: float = PRIOR) -> dict:
+    """{"share": of good documents, "bad": [class, labeller] probability of a bad vote, "posterior": {pattern: P(good)}}.
+
+    Abstentions are taken as missing votes. The labellers are made to call few good documents bad; that is the Beta
+    prior of `prior` times the votes, which also keeps the two classes from changing places."""
+    start = np.array([[0.25], [0.002]])
     if not patterns:
-        return {"share": 0.5, "p": np.full((2, 8, 3), 1 / 3), "posterior": {}}
+        return {"share": 0.5, "bad": np.repeat(start, 8, axis=1), "posterior": {}}
     votes = np.array([[int(c) for c in p] for p, _ in patterns])
     n = np.array([c for _, c in patterns], dtype=float)
-    hot = np.eye(3)[votes]  # pattern, labeller, vote
-    p = np.array([[0.55, 0.25, 0.2], [0.15, 0.65, 0.2]])[:, None, :].repeat(votes.shape[1], axis=1)
-    share = 0.8
+    is_bad, voted = (votes == BAD).astype(float), (votes != ABSTAIN).astype(float)
+    bad, share = np.repeat(start, votes.shape[1], axis=1), 0.85
     for _ in range(rounds):
-        z = np.einsum("plv,clv->pc", hot, np.log(p)) + np.log([1 - share, share])
+        z = is_bad @ np.log(bad).T + (voted - is_bad) @ np.log(1 - bad).T + np.log([1 - share, share])
         good = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -50, 50)))
-        last = share
-        share = float(np.clip((n * good).sum() / n.sum(), 1e-4, 1 - 1e-4))
-        p = np.stack([np.einsum("p,plv->lv", n * w, hot) + 1.0 for w in (1 - good, good)])
-        p /= p.sum(axis=2, keepdims=True)
+        last, share = share, float(np.clip((n * good).sum() / n.sum(), 0.05, 0.95))
+        for c, w in enumerate((n * (1 - good), n * good)):
+            weight = prior * (w[:, None] * voted).sum(axis=0) + 1
+            bad[c] = np.clip(((w[:, None] * is_bad).sum(axis=0) + weight * start[c]) / ((w[:, None] * voted).sum(axis=0) + weight), 1e-4, 1 - 1e-4)
         if abs(share - last) < 1e-9:
             break
-    return {"share": share, "p": p, "posterior": {pattern: float(g) for (pattern, _), g in zip(patterns, good, strict=True)}}
+    return {"share": share, "bad": bad, "posterior": {pattern: float(g) for (pattern, _), g in zip(patterns, good, strict=True)}}
 
 
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a text's words and word shapes (first and last three characters' classes); the values have length 1."""
+    """Buckets and values of a text's words, word shapes (classes of the first two and last three characters) and how often words and lines repeat."""
     words = text.encode("utf-8", "replace").split()
     counts = Counter(words)
     shapes: Counter = Counter()
     for w, n in counts.items():
         s = w.translate(_SHAPE)
         shapes[s[:2] + b"\0" + s[-3:]] += n
+    n, size = max(1, len(words)), min(9, len(words).bit_length())
+    lines = text.split("\n")
+    marks = [b"\1%d:%d" % (size, 10 * len(counts) // n), b"\2%d:%d" % (size, 10 * max(counts.values(), default=0) // n), b"\3%d" % (10 * len(set(lines)) // len(lines)), b"\4%d" % size]
     digest, mask = xxhash.xxh64_intdigest, (1 << BITS) - 1
     at = np.fromiter(chain((digest(w.lower(), 3) & mask for w in counts), (digest(s, 4) & mask for s in shapes)), dtype=np.int64, count=len(counts) + len(shapes))
-    n = max(1, len(words))
     x = np.sqrt(np.fromiter(chain(counts.values(), shapes.values()), dtype=float, count=len(at)) / n)
-    return at, x / max(1e-9, float(np.sqrt((x * x).sum())))
+    x /= max(1e-9, float(np.sqrt((x * x).sum())))
+    return np.append(at, [digest(m, 5) & mask for m in marks]), np.append(x, [0.5] * len(marks))
 
 
 def learn(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:

@@ -23,7 +23,9 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 20),
     "hex": (r"[0-9a-f]+", 24),
 }
-CANDIDATE, LEAST, THRESHOLD = r"[A-Za-z0-9+/_=.-]{20,}", 20, 0.6
+#: The same matches where short ones needn't be walked over: a run that is too short holds no longer one.
+LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
+CANDIDATE, THRESHOLD = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}", 0.6
 PARTS = "get set user name file path load save index count value key list map node tree data base config path http request response handler parser token stream buffer read write open close main test item order total price date time update create delete select from where join group table column row page view model train batch size text word line char string number result error message event queue task worker thread process memory cache server client port host address version module package import export public private static class object type method function param option default".split()
 STYLES = 6
 
@@ -85,7 +87,8 @@ def _spans(text: Column, kind: str, pattern: str, accept) -> Column:
 
     matches = F.flatten(F.aggregate(groups, ends, join)["out"])
     matches = F.filter(matches, lambda m: accept(m["match"]))
-    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(list([*BASE, "markov"]).index(kind)).alias("kind"), m["stop"].alias("stop")))
+    spans = F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit([*BASE, "markov"].index(kind)).alias("kind"), m["stop"].alias("stop")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,stop:int>>"))  # most texts have none
 
 
 def _ratio(match: Column, table: str) -> Column:
@@ -108,7 +111,7 @@ def find(docs: DataFrame, table: str, threshold: float = THRESHOLD) -> DataFrame
     value = lambda m: F.regexp_extract(m, r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1)
     accept = {"assign": lambda m: F.length(value(m)) >= BASE["assign"][1]} | {k: (lambda m, n=BASE[k][1]: F.length(m) >= n) for k in ("access", "hex")}
     random = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (_ratio(m, table) > threshold)
-    rows = docs.select("doc_id", *[_spans(text, k, BASE[k][0], accept[k]).alias(k) for k in BASE], _spans(text, "markov", CANDIDATE, random).alias("extra"))
+    rows = docs.select("doc_id", *[_spans(text, k, LONG.get(k, BASE[k][0]), accept[k]).alias(k) for k in BASE], _spans(text, "markov", CANDIDATE, random).alias("extra"))
     rows = rows.select("doc_id", *BASE, F.concat(*BASE).alias("base"), "extra")
     free = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])))
     rows = rows.withColumn("extra", free)
