@@ -1,6 +1,457 @@
-"""Registered queries of the vector engine and their SQL equivalents."""
+"""Registered queries of the vector engine and their SQL equivalents for DuckDB.
+
+Searches take every row whose id is divisible by 50 as queries, against all rows. Distances are rounded to 6 digits
+on both sides; ranks are by the distance rounded to 9 digits, then key."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vectide.functions import metrics, quality, quantize, strings
+from vectide.functions.sql import register
+from vectide.operators import ann, cluster, join, knn
+from vectide.operators.table import Config, VectorTable
+
+K = 10
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
+    """(key, vector, label); scaled: lengths of 1 + label, so that metrics differ."""
+    v = F.transform("embedding", lambda x: x * (1 + F.col("label")).cast("float")) if scaled else F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), v.alias("vector"), "label")
+
+
+def queries_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("key % 50 = 0").select(F.col("key").alias("query_id"), "vector")
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols or ("distance",)})
+
+
+E = "e AS (SELECT vec_id AS key, label, embedding::DOUBLE[] AS v FROM embeddings)"
+S = "e AS (SELECT vec_id AS key, label, list_transform(embedding, lambda x: (x * (1 + label)::FLOAT)::FLOAT)::DOUBLE[] AS v FROM embeddings)"
+IP = "1 - list_inner_product({a}, {b})"
+COS = "1 - list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
+L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def at(f: str, a: str = "q.v", b: str = "x.v") -> str:
+    return f.format(a=a, b=b)
+
+
+def knn_sql(f: str, source: str = E, where: str = "true", k: int = K, out: str = "", by: str = "") -> str:
+    """Ranked neighbours; where: over q, x and d."""
+    return f"""WITH {source}, p AS (SELECT q.key AS query_id, x.key AS key, x.label AS label, {at(f)} AS d FROM e q, e x WHERE q.key % 50 = 0),
+r AS (SELECT query_id, key, label, d, row_number() OVER (PARTITION BY query_id{by} ORDER BY d, key) AS n FROM p WHERE {where})
+SELECT query_id, n::INTEGER AS rank, key, round(d, 6) + 0.0 AS distance{out} FROM r WHERE n <= {k}"""
+
+
+@query(knn_sql(COS))
+def knn_cos(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(knn.search(queries_of(x), x, K, "cos"))
+
+
+@query(knn_sql(IP, S))
+def knn_ip(spark, sf_dir):
+    x = vectors(spark, sf_dir, scaled=True)
+    return rounded(knn.search(queries_of(x), x, K, "ip"))
+
+
+@query(knn_sql(L2, S))
+def knn_l2sq(spark, sf_dir):
+    x = vectors(spark, sf_dir, scaled=True)
+    return rounded(knn.search(queries_of(x), x, K, "l2sq"))
+
+
+@query(knn_sql(L2, S))
+def knn_native_l2sq(spark, sf_dir):
+    x = vectors(spark, sf_dir, scaled=True)
+    return rounded(knn.search(queries_of(x), x, K, "l2sq", native=True))
+
+
+@query(knn_sql(COS, where="label = 3"))
+def knn_filtered(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(knn.search(queries_of(x), x, K, "cos", where=F.col("label") == 3))
+
+
+@query(knn_sql(COS, where="d <= 0.8"))
+def knn_radius(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(knn.search(queries_of(x), x, K, "cos", radius=0.8))
+
+
+@query(knn_sql(COS, where="key <> query_id", k=1))
+def knn_min1(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(knn.search(queries_of(x), x, 1, "cos", exclude_self=True))
+
+
+@query(knn_sql(COS, where="key <> query_id"))
+def knn_excl_self(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(knn.search(queries_of(x), x, K, "cos", exclude_self=True))
+
+
+@query(knn_sql(COS, k=3, out=", label", by=", label"))
+def knn_per_label(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(knn.search(queries_of(x), x, 3, "cos", per="label"))
+
+
+@query(knn_sql(COS))
+def knn_sharded(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(knn.sharded(queries_of(x), [x.filter(F.col("key") % 4 == i).select("key", "vector") for i in range(4)], K, "cos"))
+
+
+def neighbours(spark, sf_dir, scaled=False, prepare=lambda v: v):
+    """Each vector with the one of the next id, an equi-join: (left_key, right_key, a, b)."""
+    x = vectors(spark, sf_dir, scaled).select("key", prepare(F.col("vector")).alias("vector"))
+    return x.select(F.col("key").alias("left_key"), F.col("vector").alias("a")).join(x.select(F.col("key").alias("right_key"), (F.col("key") - 1).alias("left_key"), F.col("vector").alias("b")), "left_key")
+
+
+def dist(name, spark, sf_dir, scaled=False, prepare=lambda v: v):
+    return rounded(neighbours(spark, sf_dir, scaled, prepare).select("left_key", "right_key", metrics.metric(name)(F.col("a"), F.col("b")).cast("double").alias("distance")))
+
+
+def dist_sql(f: str, source: str = S) -> str:
+    return f"WITH {source} SELECT q.key AS left_key, x.key AS right_key, round(({at(f)})::DOUBLE, 6) + 0.0 AS distance FROM e q JOIN e x ON x.key = q.key + 1"
+
+
+@query(dist_sql(IP))
+def dist_ip(spark, sf_dir):
+    return dist("ip", spark, sf_dir, True)
+
+
+@query(dist_sql(COS))
+def dist_cos(spark, sf_dir):
+    return dist("cosine", spark, sf_dir, True)
+
+
+@query(dist_sql(L2))
+def dist_l2sq(spark, sf_dir):
+    return dist("l2_sq", spark, sf_dir, True)
+
+
+_P = "(64 * list_inner_product({a}, {b}) - list_sum({a}) * list_sum({b})) / sqrt((64 * list_inner_product({a}, {a}) - list_sum({a}) ** 2) * (64 * list_inner_product({b}, {b}) - list_sum({b}) ** 2))"
+
+
+@query(dist_sql("1 - " + _P))
+def dist_pearson(spark, sf_dir):
+    return dist("pearson", spark, sf_dir, True)
+
+
+_D = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * ln((z[1] + pow(2, -23)) / ((z[1] + z[2]) / 2 + pow(2, -23))) + z[2] * ln((z[2] + pow(2, -23)) / ((z[1] + z[2]) / 2 + pow(2, -23))))) / 2"
+
+
+@query(dist_sql(_D, "d AS (SELECT vec_id AS key, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS v FROM embeddings), e AS (SELECT key, list_transform(v, lambda x: x / list_sum(v)) AS v FROM d)"))
+def dist_divergence(spark, sf_dir):
+    def shares(v):
+        v = F.transform(v.cast("array<double>"), F.abs)
+        return F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda s, y: s + y))
+
+    return dist("divergence", spark, sf_dir, prepare=shares)
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, ((c_custkey * 37) % 180 - 90)::DOUBLE AS lat, ((c_custkey * 91) % 360 - 180)::DOUBLE AS lon FROM customer)
+SELECT a.k AS left_key, b.k AS right_key, round(2 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 6) + 0.0 AS distance
+FROM c a JOIN c b ON b.k = a.k + 1""")
+def dist_haversine(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("key"), F.array((k * 37 % 180 - 90).cast("double"), (k * 91 % 360 - 180).cast("double")).alias("v"))
+    pairs = c.select(F.col("key").alias("left_key"), F.col("v").alias("a")).join(c.select(F.col("key").alias("right_key"), (F.col("key") - 1).alias("left_key"), F.col("v").alias("b")), "left_key")
+    return rounded(pairs.select("left_key", "right_key", metrics.haversine(F.col("a"), F.col("b")).alias("distance")))
+
+
+def bits_sql(f: str) -> str:
+    """f over both, either, na, nb: numbers of set bits."""
+    z = "list_sum(list_transform(list_zip(q.v, x.v), lambda z: ({})::INTEGER))"
+    c = f"SELECT q.key AS left_key, x.key AS right_key, {z.format('z[1] > 0 AND z[2] > 0')} AS both_, {z.format('z[1] > 0 OR z[2] > 0')} AS either_, {z.format('z[1] > 0')} AS na, {z.format('z[2] > 0')} AS nb FROM e q JOIN e x ON x.key = q.key + 1"
+    return f"WITH {E}, c AS ({c}) SELECT left_key, right_key, round(({f})::DOUBLE, 6) + 0.0 AS distance FROM c"
+
+
+@query(bits_sql("either_ - both_"))
+def bits_hamming(spark, sf_dir):
+    return dist("hamming", spark, sf_dir, prepare=quantize.to_bits)
+
+
+@query(bits_sql("1 - both_ / either_"))
+def bits_tanimoto(spark, sf_dir):
+    return dist("tanimoto", spark, sf_dir, prepare=quantize.to_bits)
+
+
+@query(bits_sql("1 - 2 * both_ / (na + nb)"))
+def bits_sorensen(spark, sf_dir):
+    return dist("sorensen", spark, sf_dir, prepare=quantize.to_bits)
+
+
+I8 = "i AS (SELECT vec_id AS key, label, list_transform(embedding::DOUBLE[], lambda x: trunc(x * 127 / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))) AS v FROM embeddings)"
+
+
+@query(f"WITH {I8} SELECT key, generate_subscripts(v, 1)::INTEGER - 1 AS dim, unnest(v)::INTEGER AS value FROM i")
+def quant_i8(spark, sf_dir):
+    return vectors(spark, sf_dir).select("key", F.posexplode(quantize.to_i8(F.col("vector"))).alias("dim", "value")).select("key", "dim", F.col("value").cast("int").alias("value"))
+
+
+@query(knn_sql(L2, I8 + ", e AS (SELECT * FROM i)"))
+def knn_i8(spark, sf_dir):
+    x = vectors(spark, sf_dir).withColumn("vector", quantize.to_i8(F.col("vector")))
+    return rounded(knn.search(queries_of(x), x, K, "l2sq"))
+
+
+_T = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z]+'))"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS k, {_T.format("text")} AS s FROM documents)
+SELECT a.k AS left_key, b.k AS right_key, round(1 - len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) + 0.0 AS distance
+FROM t a JOIN t b ON b.k = a.k + 1 WHERE len(a.s) + len(b.s) > 0""")
+def jaccard_sets(spark, sf_dir):
+    s = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), s.alias("s"))
+    pairs = t.select(F.col("key").alias("left_key"), F.col("s").alias("a")).join(t.select(F.col("key").alias("right_key"), (F.col("key") - 1).alias("left_key"), F.col("s").alias("b")), "left_key")
+    return rounded(pairs.filter(F.size("a") + F.size("b") > 0).select("left_key", "right_key", metrics.jaccard(F.col("a"), F.col("b")).alias("distance")))
+
+
+def _first_words(spark, sf_dir):
+    """(doc_id, a, b): the first two words of each document."""
+    w = lambda i: F.regexp_extract(F.col("text"), r"^([^ \n]*)[ \n]?([^ \n]*)", i)
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", w(1).alias("a"), w(2).alias("b"))
+
+
+_FW = r"WITH w AS (SELECT doc_id, regexp_extract(text, '^([^ \n]*)[ \n]?([^ \n]*)', 1) AS a, regexp_extract(text, '^([^ \n]*)[ \n]?([^ \n]*)', 2) AS b FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"{_FW} SELECT doc_id, levenshtein(a, b)::INTEGER AS distance, least(levenshtein(a, b), 3)::INTEGER AS bounded FROM w")
+def levenshtein_bytes(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _first_words(spark, sf_dir).select("doc_id", strings.levenshtein_bytes(a, b).alias("distance"), strings.levenshtein_bytes(a, b, 3).alias("bounded"))
+
+
+@query("SELECT p_partkey, levenshtein(p_name, p_type)::INTEGER AS distance, least(levenshtein(p_name, p_type), 4)::INTEGER AS bounded FROM part")
+def levenshtein_unicode(spark, sf_dir):
+    a, b = F.col("p_name"), F.col("p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", strings.levenshtein_unicode(a, b).alias("distance"), strings.levenshtein_unicode(a, b, 4).alias("bounded"))
+
+
+def _ham(a: str, b: str) -> str:
+    return f"(coalesce(list_sum(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: (substr({a}, i, 1) <> substr({b}, i, 1))::INTEGER)), 0) + abs(length({a}) - length({b})))::INTEGER"
+
+
+@query(f"{_FW} SELECT doc_id, {_ham('a', 'b')} AS distance, least({_ham('a', 'b')}, 3) AS bounded FROM w")
+def hamming_unicode(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _first_words(spark, sf_dir).select("doc_id", strings.hamming_unicode(a, b).alias("distance"), strings.hamming_unicode(a, b, 3).alias("bounded"))
+
+
+@query(f"SELECT p_partkey, {_ham('p_name', 'p_type')} AS distance FROM part")
+def hamming_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", strings.hamming_bytes(F.col("p_name"), F.col("p_type")).alias("distance"))
+
+
+def by_label(spark, sf_dir) -> VectorTable:
+    return VectorTable(Config(64, multi=True), vectors(spark, sf_dir).select(F.col("label").cast("long").alias("key"), "vector"))
+
+
+def by_id(spark, sf_dir) -> VectorTable:
+    return VectorTable(Config(64), vectors(spark, sf_dir).select("key", "vector"))
+
+
+@query("SELECT 2 * l_partkey AS key, 2 * l_partkey IN (SELECT vec_id FROM embeddings) AS found FROM (SELECT DISTINCT l_partkey FROM lineitem)")
+def crud_contains(spark, sf_dir):
+    return by_id(spark, sf_dir).contains(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("key")).distinct())
+
+
+@query("SELECT p_partkey AS key, (SELECT count(*) FROM embeddings WHERE label = p_partkey) AS n FROM part")
+def crud_count_multi(spark, sf_dir):
+    return by_label(spark, sf_dir).count(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")))
+
+
+@query("SELECT vec_id AS key FROM embeddings WHERE vec_id NOT IN (SELECT 2 * c_custkey FROM customer)")
+def crud_remove(spark, sf_dir):
+    return by_id(spark, sf_dir).remove(table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("key"))).rows.select("key")
+
+
+@query("SELECT CASE WHEN label = 1 THEN 2 ELSE label END::BIGINT AS key, count(*) AS n FROM embeddings GROUP BY 1")
+def crud_rename(spark, sf_dir):
+    names = spark.createDataFrame([(1, 2)], "old long, new long")
+    return by_label(spark, sf_dir).rename(names).rows.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS key, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM part LEFT JOIN embeddings ON vec_id = p_partkey")
+def crud_get(spark, sf_dir):
+    got = by_id(spark, sf_dir).get(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")))
+    return got.select("key", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("SELECT vec_id AS key, label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings")
+def crud_add(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    added = by_id(spark, sf_dir).add(x.select((F.col("key") + 1000000).alias("key"), "vector"))
+    return added.rows.select("key").join(x.select(F.col("key").alias("k"), "label"), F.col("key") % 1000000 == F.col("k")).select("key", "label")
+
+
+@query(f"WITH {S} SELECT q.key AS left_key, x.key AS right_key, 1::BIGINT AS n, round({at(L2)}, 6) + 0.0 AS mean FROM e q JOIN e x ON x.key = q.key + 1")
+def pairwise_by_key(spark, sf_dir):
+    x = vectors(spark, sf_dir, scaled=True)
+    pairs = x.select(F.col("key").alias("left_key"), (F.col("key") + 1).alias("right_key")).join(x.select(F.col("key").alias("right_key")), "right_key")
+    return rounded(knn.pairwise(x, x, pairs, "l2sq").select("left_key", "right_key", "n", "mean"), "mean")
+
+
+@query(f"""WITH {E}, l AS (SELECT key // 50 AS g, v FROM e WHERE key % 2 = 0), r AS (SELECT key // 50 AS g, v FROM e WHERE key % 2 = 1)
+SELECT q.g AS left_key, x.g AS right_key, count(*) AS n, round(avg({at(L2)}), 6) + 0.0 AS mean, round(min({at(L2)}), 6) + 0.0 AS min, round(max({at(L2)}), 6) + 0.0 AS max FROM l q JOIN r x ON q.g = x.g GROUP BY 1, 2""")
+def pairwise_multi_agg(spark, sf_dir):
+    """Keys that stand for up to 25 vectors each: the group of 50 ids that a vector's id falls in."""
+    x = vectors(spark, sf_dir).withColumn("id", F.col("key")).withColumn("key", F.floor(F.col("key") / 50))
+    pairs = x.select(F.col("key").alias("left_key"), F.col("key").alias("right_key")).distinct()
+    return rounded(knn.pairwise(x.filter("id % 2 = 0"), x.filter("id % 2 = 1"), pairs, "l2sq").filter("n > 0"), "mean", "min", "max")
+
+
+def _top(f: str, name: str, source: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT q.key AS query_id, x.key AS key, row_number() OVER (PARTITION BY q.key ORDER BY {at(f)}, x.key) AS n FROM {source} q, {source} x WHERE q.key % 50 = 0) WHERE n <= {K})"
+
+
+@query(f"WITH {E}, {I8}, {_top(COS, 'a', 'e')}, {_top(L2, 'b', 'i')} SELECT a.query_id, count(b.key) AS hits, round(count(b.key) / count(*), 6) + 0.0 AS recall FROM a LEFT JOIN b ON a.query_id = b.query_id AND a.key = b.key GROUP BY 1")
+def recall_at_k(spark, sf_dir):
+    """Of 8-bit search against exact search."""
+    x = vectors(spark, sf_dir)
+    small = x.withColumn("vector", quantize.to_i8(F.col("vector")))
+    return rounded(quality.recall(knn.search(queries_of(small), small, K, "l2sq"), knn.search(queries_of(x), x, K, "cos").select("query_id", "key")), "recall")
+
+
+@query(f"""WITH {E}, {I8}, {_top(COS, 'a', 'e')}, {_top(L2, 'b', 'i')}, g AS (SELECT b.query_id, sum(({K} + 1 - a.n) / log2(b.n + 1)) AS dcg FROM b JOIN a ON a.query_id = b.query_id AND a.key = b.key GROUP BY 1),
+i2 AS (SELECT query_id, sum(({K} + 1 - n) / log2(n + 1)) AS best FROM a GROUP BY 1)
+SELECT i2.query_id, round(coalesce(dcg, 0), 6) + 0.0 AS dcg, round(coalesce(dcg, 0) / best, 6) + 0.0 AS ndcg FROM i2 LEFT JOIN g USING (query_id)""")
+def ndcg_at_k(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    small = x.withColumn("vector", quantize.to_i8(F.col("vector")))
+    exact = knn.search(queries_of(x), x, K, "cos").select("query_id", "key", (F.lit(K + 1) - F.col("rank")).cast("double").alias("relevance"))
+    return rounded(quality.ndcg(knn.search(queries_of(small), small, K, "l2sq"), exact, K), "dcg", "ndcg")
+
+
+def _fixed_starts(x: DataFrame):
+    import numpy as np
+
+    return np.array([r.vector for r in x.filter("key < 10").orderBy("key").collect()], dtype=float)
+
+
+_ASSIGN = f"a AS (SELECT x.key, arg_min(c.key, {at(L2, 'x.v', 'c.v')}) AS cluster, min({at(L2, 'x.v', 'c.v')}) AS d FROM e x, e c WHERE c.key < 10 GROUP BY 1)"
+
+
+@query(f"WITH {E}, {_ASSIGN} SELECT key, cluster::INTEGER AS cluster, round(d, 6) + 0.0 AS distance FROM a")
+def kmeans_assign_step(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(cluster.assign(x, _fixed_starts(x), "l2sq"))
+
+
+@query(f"WITH {E}, {_ASSIGN}, u AS (SELECT cluster, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM a JOIN e USING (key)) SELECT cluster::INTEGER AS cluster, dim::INTEGER AS dim, round(avg(x), 6) + 0.0 AS value FROM u GROUP BY 1, 2")
+def kmeans_update_step(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return rounded(cluster.update(x, cluster.assign(x, _fixed_starts(x), "l2sq"), "l2sq"), "value")
+
+
+@query()
+def kmeans_full(spark, sf_dir):
+    return rounded(cluster.kmeans(vectors(spark, sf_dir).select("key", "vector"), 8)[0])
+
+
+@query()
+def ann_ivf(spark, sf_dir):
+    x = vectors(spark, sf_dir).select("key", "vector")
+    index, centroids = ann.build(x, 16)
+    return rounded(ann.search(queries_of(x), index, centroids, K, probes=12))
+
+
+_LEVEL = "floor(-ln(((((vec_id % 4294967296) + 1) * 2654435761) % 4294967296 + 0.5) / 4294967296.0) / ln({}))"
+
+
+@query(f"WITH l AS (SELECT {_LEVEL.format(4.0)}::INTEGER AS top FROM embeddings), n AS (SELECT unnest(range(0, top + 1))::INTEGER AS level FROM l) SELECT level, count(*) AS nodes FROM n GROUP BY 1")
+def level_stats(spark, sf_dir):
+    return cluster.level_stats(vectors(spark, sf_dir), 4)
+
+
+_CL = f"{E}, m AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings WHERE {_LEVEL.format(4.0)} >= 2), c AS (SELECT x.key, arg_min(m.key, {at(COS, 'x.v', 'm.v')}) AS centroid, min({at(COS, 'x.v', 'm.v')}) AS d FROM e x, m GROUP BY 1)"
+
+
+@query(f"WITH {_CL} SELECT key, centroid, round(d, 6) + 0.0 AS distance FROM c")
+def cluster_level(spark, sf_dir):
+    return rounded(cluster.cluster_by_level(vectors(spark, sf_dir), 2, "cos", 4))
+
+
+@query(f"WITH {_CL} SELECT centroid, count(*) AS size FROM c GROUP BY 1")
+def cluster_popularity(spark, sf_dir):
+    return cluster.popularity(cluster.cluster_by_level(vectors(spark, sf_dir), 2, "cos", 4))
+
+
+@query()
+def cluster_counts(spark, sf_dir):
+    return rounded(cluster.cluster(vectors(spark, sf_dir).select("key", "vector"), 3, 10))
+
+
+@query()
+def stable_join(spark, sf_dir):
+    """One-to-one match of every row whose id is divisible by 50 with the other rows."""
+    x = vectors(spark, sf_dir).select("key", "vector")
+    return rounded(join.stable_match(x.filter("key % 50 = 0"), x.filter("key % 50 <> 0")))
+
+
+@query(dist_sql(COS, E))
+def sql_distance_json(spark, sf_dir):
+    register(spark)
+    pairs = neighbours(spark, sf_dir).select("left_key", "right_key", F.to_json("a").alias("a"), F.to_json("b").alias("b"))
+    return rounded(pairs.selectExpr("left_key", "right_key", "distance_cosine_f32(a, b) AS distance"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - l_tax) ** 2 + (l_discount - l_tax) ** 2, 6) + 0.0 AS distance FROM lineitem")
+def sql_distance_columns(spark, sf_dir):
+    register(spark)
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "round(distance_sqeuclidean_f64(l_quantity, l_discount, l_tax, l_tax), 6) AS distance")
+
+
+@query(f"{_FW} SELECT doc_id, levenshtein(a, b)::INTEGER AS lev, least({_ham('a', 'b')}, 2) AS ham2 FROM w")
+def sql_distance_strings(spark, sf_dir):
+    register(spark)
+    return _first_words(spark, sf_dir).selectExpr("doc_id", "distance_levenshtein_bytes(a, b) AS lev", "distance_hamming_unicode(a, b, 2) AS ham2")
+
+
+@query("SELECT vec_id AS key, generate_subscripts(embedding, 1)::INTEGER - 1 AS dim, round(unnest(embedding)::DOUBLE, 6) + 0.0 AS value FROM embeddings")
+def table_round_trip(spark, sf_dir):
+    """Saved as a vector table in the shared folder, and loaded as a view."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
+    path = f"{base}/vectide-{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex[:12]}"
+    by_id(spark, sf_dir).save(path)
+    rows = VectorTable.load(spark, path, view=True).rows
+    return rounded(rows.select("key", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double")), "value")
+
+
+@query()
+def quant_f16(spark, sf_dir):
+    return vectors(spark, sf_dir).select("key", quantize.to_f16("vector").alias("vector"))
+
+
+@query()
+def quant_bf16(spark, sf_dir):
+    return vectors(spark, sf_dir).select("key", quantize.to_bf16("vector").alias("vector"))
+
