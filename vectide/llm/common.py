@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A row batch handed to Python holds at most about so many bytes, however long single texts are.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,7 @@ def forget(df: DataFrame) -> None:
     drop_folder(df.sparkSession, df._vectide_path)
 
 
-def blocks(texts: pa.Array, most: int = 4 << 20) -> Iterator[list[str]]:
+def blocks(texts: pa.Array, most: int = 2 << 20) -> Iterator[list[str]]:
     """Consecutive texts of a batch (null: empty) in blocks of about `most` characters at most, or one text."""
     block, n = [], 0
     for text in texts:

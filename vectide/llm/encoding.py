@@ -1,7 +1,7 @@
 """Encoding by the tokenizers library, in pieces that are encoded once.
 
 A text is cut at boundaries that no token crosses, so that its ids are the pieces' ids in order; a worker keeps the
-ids of pieces it has met (up to `KEPT` pieces). Which boundaries are safe depends on the vocabulary's pre-tokenizer:
+ids of the first `KEPT` pieces it meets, which holds the frequent ones; others are encoded each time. Which boundaries are safe depends on the vocabulary's pre-tokenizer:
 
 byte-level (a token may start with one space, never holds a space after another character): before each space or line
 end that follows a character that isn't white space; after a line end if no white space follows.
@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
-KEPT, LONG = 1 << 20, 1 << 16
+KEPT, LONG = 3 << 17, 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LONG = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -35,14 +35,39 @@ class _Kept(dict):
     """piece -> kept value, made when first asked for."""
 
     def __init__(self, of: Encoder, space: bool):
-        self.of, self.space = of, space
+        self.of, self.space, self.missed = of, space, 0
 
     def __missing__(self, piece: str):
-        value = self.of.make(self.of._piece(piece, self.space))
-        if len(piece) < 200:
-            self[piece] = value
+        value = self._value(piece)
+        if len(piece) < 64:
+            if len(self) < KEPT:
+                self[piece] = value
+            else:
+                self.missed += 1
+                if self.missed > 8 * KEPT:  # the pieces kept are of other texts than these
+                    self.clear()
+                    self.missed = 0
         return value
 
+    def _value(self, piece: str):
+        of = self.of
+        if _word(piece):
+            if of.drops_space and (low := piece.lower()) != piece:
+                return self[low]
+            return of.make([t.id for t in of.library.model.tokenize(of.letters(piece, self.space))])
+        if piece[-1:] in of.marks and _word(piece[:-1]):
+            return self[piece[:-1]] + of.marks[piece[-1]]
+        if not piece:
+            return of.make([])
+        whole = " " * (self.space and not of.drops_space) + piece
+        parts = _LONG.split(whole) if len(whole) > LONG else [whole]
+        return of.make([i for p in parts for i in of.library.encode(p, add_special_tokens=False).ids])
+
+
+def _word(piece: str) -> bool:
+    """Letters that are one pre-token, and that normalisation leaves alone but for their case."""
+    return piece.isalpha() and len(piece) < 200 and (piece.isascii() or _LETTERS.fullmatch(piece) is not None)
+
 
 class Encoder:
     """One vocabulary file; `make` turns a piece's ids into what is kept for it (a count, or packed ids)."""
@@ -56,32 +81,18 @@ class Encoder:
         self.library.no_truncation()
         self.drops_space = "Lowercase" in str(self.library.normalizer)
         self.bytes = _byte_alphabet()
-        self.zero = make([])
         self.kept, self.after = _Kept(self, False), _Kept(self, True)  # after: pieces that follow a space, written without it
-        self.kept[""] = self.zero
+        self.marks = {m: make(self.library.encode(m, add_special_tokens=False).ids) for m in (".", ",")}
 
-    def _model(self, word: str, space: bool) -> list[int]:
-        """A word of letters, which is one pre-token."""
-        if self.drops_space:
-            word = word.lower()
-        raw = ((" " if space else "") + word).encode()
-        return [t.id for t in self.library.model.tokenize("".join(map(self.bytes.__getitem__, raw)))]
-
-    def _piece(self, piece: str, space: bool) -> list[int]:
-        word, end = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-        if _LETTERS.fullmatch(word) and len(word) < 200:
-            return self._model(word, space) + (self._model(end, False) if end else [])
-        piece = " " * (space and not self.drops_space) + piece
-        parts = _LONG.split(piece) if len(piece) > LONG else [piece]
-        return [i for p in parts for i in self.library.encode(p, add_special_tokens=False).ids]
+    def letters(self, word: str, space: bool) -> str:
+        """A word in the characters that the vocabulary writes bytes with."""
+        if not word.isascii():
+            word = "".join(map(self.bytes.__getitem__, word.encode()))
+        return self.bytes[32] + word if space and not self.drops_space else word
 
     def _look(self, pieces: list[str], space: bool) -> Iterable:
         """The kept value of each piece."""
-        kept = self.after if space else self.kept
-        if len(kept) > KEPT:
-            kept.clear()
-            self.kept[""] = self.zero
-        return map(kept.__getitem__, pieces)
+        return map((self.after if space else self.kept).__getitem__, pieces)
 
     def encode(self, text: str) -> Iterable:
         """The kept values of text's pieces, in order."""
@@ -105,12 +116,22 @@ _ENCODERS: dict = {}  # of a worker
 def encoder(path: str, kind: str) -> Encoder:
     """kind: 'count' keeps numbers of tokens, 'pack' little-endian 16-bit ids (32-bit if the vocabulary needs them)."""
     if (path, kind) not in _ENCODERS:
-        made = Encoder(path, len)
-        if kind == "pack":
-            form = "<u2" if made.library.get_vocab_size() <= 1 << 16 else "<u4"
-            made.make = lambda ids: np.array(ids, dtype=form).tobytes()
-            made.zero = b""
-            made.kept[""] = b""
-            made.form = form
-        _ENCODERS[path, kind] = made
+        from tokenizers import Tokenizer
+
+        if kind == "count":
+            _ENCODERS[path, kind] = Encoder(path, len)
+        else:
+            form = "H" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "I"
+            _ENCODERS[path, kind] = Encoder(path, _packer(form))
+            _ENCODERS[path, kind].form = f"<u{array(form).itemsize}"
     return _ENCODERS[path, kind]
+
+
+def _packer(form: str) -> Callable[[list[int]], bytes]:
+    def pack(ids: list[int]) -> bytes:
+        out = array(form, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    return pack

@@ -4,7 +4,7 @@ Eight heuristic labellers each vote good (1), bad (0) or abstain (2) on every do
 pattern (at most 3**8 rows, whatever the input), and expectation-maximisation over the counts estimates each
 labeller's vote probabilities in good and bad documents and the share of good ones, without any true label.
 The posterior of each document's pattern is its soft label; a linear scorer over hashed words and word shapes learns it
-by logistic regression on a bounded seeded hash sample (`fit_rows`, a documented parameter), and scores all documents."""
+by logistic regression on a bounded seeded sample (`fit_rows`, a documented parameter), and scores all documents."""
 
 from __future__ import annotations
 
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     total = sum(n for _, n in patterns)
     rows = docs.select(text.alias("text"))
     if total > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(13), "text"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
+        rows = rows.filter(F.rand(13) < F.lit(fit_rows / total))  # by row: copies of one text can't fill the driver
 
     @F.arrow_udf("struct<v:string,at:array<int>,x:array<float>>")
     def sample(texts: pa.Array) -> pa.Array:

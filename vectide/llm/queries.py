@@ -50,10 +50,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> dict:
-    """Learned from the labelled documents that aren't held out."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    """Learned from the labelled documents that aren't held out; if they are more than FIT_ROWS, from those of about so many ids.
+
+    The labels, one an id, then are a table of bounded size, which is broadcast, so texts aren't shuffled."""
+    labels = table(spark, sf_dir, "labels").filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total = labels.count()
+    if total > toxicity.FIT_ROWS:
+        labels = labels.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * toxicity.FIT_ROWS / total))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.fit(texts.join(labels, "doc_id").select("text", "toxic"))
+    return toxicity.fit(texts.join(F.broadcast(labels), "doc_id").select("text", "toxic"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Spark cuts batches by bytes (common.BATCH_BYTES); within a batch, blocks of about 4 MB are encoded; long texts are cut
+Spark cuts batches by bytes (common.BATCH_BYTES); within a batch, blocks of about 2 million characters are encoded; long texts are cut
 at boundaries that no token crosses (see encoding.py). Ids never leave the worker."""
 
 from __future__ import annotations

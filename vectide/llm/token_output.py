@@ -39,10 +39,12 @@ def ids_of(path: str, text: str, end: int = END) -> bytes:
 
 
 def train(docs: DataFrame, path: str, samples: int = SAMPLES, sample_chars: int = SAMPLE_CHARS) -> bytes:
-    short = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text").between(1, sample_chars))
-    rows = short.orderBy(F.xxhash64(F.lit(11), "text"), "text").limit(samples).collect()
+    """About `samples` short texts reach the driver, however many copies of a text there are."""
+    n = docs.select(F.lit(1)).count()
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.rand(11) < F.lit(min(1.0, samples / max(1, n))))
+    rows = sorted(r.text for r in rows.filter(F.length("text").between(1, sample_chars)).collect())
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [ids_of(path, r.text) for r in rows], level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [ids_of(path, text) for text in rows], level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b""
 
