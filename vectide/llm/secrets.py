@@ -6,7 +6,7 @@ sums of the pieces' lengths are the positions.
 
 Method: two first-order Markov models over ASCII characters, one of random strings and one of ordinary identifiers, are
 trained from labelled samples by counting character pairs (add-one smoothing). A candidate, a run of 20 or more of
-[A-Za-z0-9+/_=.-] with a digit and a letter that no base span touches, is a secret if the log-likelihood ratio of the
+[A-Za-z0-9+/_=.-] with a digit, a letter and 8 different characters that no base span touches, is a secret if the log-likelihood ratio of the
 two models is over `threshold` a character pair. The ratios are one constant array of 128 x 128 doubles.
 
 Samples: the random ones are digests and base64 of a counter, the ordinary ones are joined from common parts of identifiers in several
@@ -26,6 +26,7 @@ BASE = {
 #: The same matches where short ones needn't be walked over: a run that is too short holds no longer one.
 LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
 CANDIDATE, THRESHOLD = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}", 0.6
+DISTINCT = 8
 PARTS = "get set user name file path load save index count value key list map node tree data base config path http request response handler parser token stream buffer read write open close main test item order total price date time update create delete select from where join group table column row page view model train batch size text word line char string number result error message event queue task worker thread process memory cache server client port host address version module package import export public private static class object type method function param option default".split()
 STYLES = 6
 
@@ -91,10 +92,17 @@ def _spans(text: Column, kind: str, pattern: str, accept) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,stop:int>>"))  # most texts have none
 
 
-def _ratio(match: Column, table: str) -> Column:
+def _random(match: Column, table: str, threshold: float) -> Column:
+    """At least DISTINCT characters, a digit and a letter among them, and the mean log ratio of its pairs is over threshold."""
     ratios = F.split(F.lit(table), ",").cast("array<double>")
-    total = F.aggregate(F.sequence(F.lit(1), F.length(match) - 1), F.lit(0.0), lambda acc, k: acc + F.element_at(ratios, F.ascii(F.substr(match, k, F.lit(1))) * 128 + F.ascii(F.substr(match, k + 1, F.lit(1))) + 1))
-    return total / (F.length(match) - 1)
+
+    def judge(codes):
+        pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.coalesce(F.element_at(ratios, a * 128 + b + 1), F.lit(0.0)))
+        total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+        return (F.size(F.array_distinct(codes)) >= DISTINCT) & (total / (F.size(codes) - 1) > threshold)
+
+    codes = F.transform(F.split(match, ""), F.ascii)  # once, as a variable of the outer function: positions then are looked up, not counted
+    return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & F.element_at(F.transform(F.array(codes), judge), 1)
 
 
 def _join(spans: Column) -> Column:
@@ -110,7 +118,7 @@ def find(docs: DataFrame, table: str, threshold: float = THRESHOLD) -> DataFrame
     text = F.coalesce("text", F.lit(""))
     value = lambda m: F.regexp_extract(m, r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1)
     accept = {"assign": lambda m: F.length(value(m)) >= BASE["assign"][1]} | {k: (lambda m, n=BASE[k][1]: F.length(m) >= n) for k in ("access", "hex")}
-    random = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (_ratio(m, table) > threshold)
+    random = lambda m: _random(m, table, threshold)
     rows = docs.select("doc_id", *[_spans(text, k, LONG.get(k, BASE[k][0]), accept[k]).alias(k) for k in BASE], _spans(text, "markov", CANDIDATE, random).alias("extra"))
     rows = rows.select("doc_id", *BASE, F.concat(*BASE).alias("base"), "extra")
     free = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])))
