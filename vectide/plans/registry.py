@@ -420,7 +420,7 @@ def stable_join(spark, sf_dir):
 @query(dist_sql(COS, E))
 def sql_distance_json(spark, sf_dir):
     register(spark)
-    pairs = neighbours(spark, sf_dir).select("left_key", "right_key", F.to_json("a").alias("a"), F.to_json("b").alias("b"))
+    pairs = neighbours(spark, sf_dir).select("left_key", "right_key", F.to_json(F.col("a").cast("array<double>")).alias("a"), F.to_json(F.col("b").cast("array<double>")).alias("b"))
     return rounded(pairs.selectExpr("left_key", "right_key", "distance_cosine_f32(a, b) AS distance"))
 
 
