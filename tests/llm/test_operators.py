@@ -173,7 +173,7 @@ def test_token_counts(docs, empty):
 def test_pieces_are_the_library(file):
     from vectide.llm.encoding import Encoder
 
-    library, mine = Tokenizer.from_file(public_tokenizers.path(file)), Encoder(public_tokenizers.path(file), list)
+    library, mine = (library := Tokenizer.from_file(public_tokenizers.path(file))), Encoder(library, list)
     parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", " ", " ", "\x1c", "\x85", "the", "The", "Été", "é", "ß", "µm", "İ", "Σ", "it's", "'S", "12", "a1b2", ".", ",", "...", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "\U0001f600", "中文", "\0"]
     r = random.Random(9)
     for _ in range(1500):

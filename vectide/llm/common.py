@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,8 +72,18 @@ def forget(df: DataFrame) -> None:
     drop_folder(df.sparkSession, df._vectide_path)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give freed memory of earlier batches back; workers are reused, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def blocks(texts: pa.Array, most: int = 2 << 20) -> Iterator[list[str]]:
     """Consecutive texts of a batch (null: empty) in blocks of about `most` characters at most, or one text."""
+    release()
     block, n = [], 0
     for text in texts:
         text = text.as_py() or ""

@@ -17,8 +17,12 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable
+from typing import TYPE_CHECKING
 
-KEPT, LONG = 3 << 17, 1 << 16
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+KEPT, LONG = 1 << 18, 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LONG = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -72,11 +76,9 @@ def _word(piece: str) -> bool:
 class Encoder:
     """One vocabulary file; `make` turns a piece's ids into what is kept for it (a count, or packed ids)."""
 
-    def __init__(self, path: str, make: Callable[[list[int]], object]):
+    def __init__(self, library: Tokenizer, make: Callable[[list[int]], object], form: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library, self.make = Tokenizer.from_file(path), make
+        self.library, self.make, self.form = library, make, form
         self.library.no_padding()
         self.library.no_truncation()
         self.drops_space = "Lowercase" in str(self.library.normalizer)
@@ -118,12 +120,10 @@ def encoder(path: str, kind: str) -> Encoder:
     if (path, kind) not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        if kind == "count":
-            _ENCODERS[path, kind] = Encoder(path, len)
-        else:
-            form = "H" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "I"
-            _ENCODERS[path, kind] = Encoder(path, _packer(form))
-            _ENCODERS[path, kind].form = f"<u{array(form).itemsize}"
+        library = Tokenizer.from_file(path)
+        form = "H" if library.get_vocab_size() <= 1 << 16 else "I"
+        _ENCODERS.clear()  # one vocabulary's pieces at a time
+        _ENCODERS[path, kind] = Encoder(library, len if kind == "count" else _packer(form), f"<u{array(form).itemsize}")
     return _ENCODERS[path, kind]
 
 

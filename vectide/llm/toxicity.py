@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vectide.llm.common import blocks, bounded_batches
 
-FIT_ROWS, LEXICON, LEAST_DOCUMENTS, LEAST_ODDS = 50_000, 2_000, 3, 2.5
+FIT_ROWS, CANDIDATES, LEXICON, LEAST_DOCUMENTS, LEAST_ODDS = 50_000, 20_000, 2_000, 3, 2.5
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
 WORDS = {
     THREAT: "kill hurt destroy burn shoot stab punch beat töten schlagen tuer frapper matar golpear",
@@ -118,22 +118,21 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0)
     return w
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, n): documents with the word, for each word of a partition that a toxic document has."""
-    pos, neg, n = {}, {}, [0, 0]
-    for batch in batches:
-        toxic = batch.column(1).to_pylist()
-        at = 0
-        for block in blocks(batch.column(0)):
-            for text in block:
-                into = pos if toxic[at] else neg
-                for w in set(TOKEN.findall(text.lower())):
-                    into[w] = into.get(w, 0) + 1
-                n[bool(toxic[at])] += 1
-                at += 1
-    words = [*pos, *neg, "", ""]
-    flags = [1] * len(pos) + [0] * len(neg) + [1, 0]
-    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(flags, pa.int32()), pa.array([*pos.values(), *neg.values(), n[1], n[0]], pa.int64())], names=["word", "toxic", "n"])
+def _word_counts(known: frozenset | None):
+    """(word, n) of a task: documents with the word, for all words or the known ones; the word "" counts documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, int] = {"": 0}
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                for text in block:
+                    words = set(TOKEN.findall(text.lower()))
+                    for w in words if known is None else words & known:
+                        found[w] = found.get(w, 0) + 1
+                found[""] += len(block)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    return run
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
@@ -143,12 +142,17 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     total = rows.count()
     if total > fit_rows:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
-    counts = rows.mapInArrow(_word_counts, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    sums = counts.filter("word = ''").first()
-    n_pos, n_neg = (sums.pos, sums.neg) if sums else (0, 0)
-    odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1.0))
-    top = counts.filter(f"word <> '' AND pos >= {LEAST_DOCUMENTS}").select("word", "pos", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "word").limit(LEXICON).collect()
-    lexicon = FIXED | {r.word: (INSULT, float(r.odds)) for r in top if r.word not in FIXED}
+
+    def counts(toxic: int, known: frozenset | None = None) -> DataFrame:
+        return rows.filter(F.col("toxic") == toxic).select("text").mapInArrow(_word_counts(known), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    # first the words of toxic documents, then how often the others have these: most words never leave their task
+    pos = counts(1).filter(f"word = '' OR n >= {LEAST_DOCUMENTS}").orderBy(F.col("word") != "", F.desc("n"), "word").limit(CANDIDATES).collect()
+    neg = {r.word: r.n for r in counts(0, frozenset(r.word for r in pos) - {""}).collect()}
+    n_pos, n_neg = next((r.n for r in pos if not r.word), 0), neg.get("", 0)
+    odds = {r.word: (math.log((r.n + 0.5) / (n_pos + 1.0)) - math.log((neg.get(r.word, 0) + 0.5) / (n_neg + 1.0)), r.n) for r in pos if r.word}
+    top = sorted((w for w, (o, _) in odds.items() if o >= LEAST_ODDS), key=lambda w: (-odds[w][0] * odds[w][1] ** 0.5, w))[:LEXICON]
+    lexicon = FIXED | {w: (INSULT, odds[w][0]) for w in top if w not in FIXED}
 
     @F.arrow_udf("array<double>")
     def extract(texts: pa.Array) -> pa.Array:
