@@ -104,14 +104,14 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.log1p(np.maximum(x, 0))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> np.ndarray:
-    """Weights (the last is the constant) by Newton steps."""
+def logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> np.ndarray:
+    """Weights (the last is the constant) by Newton steps, from feature rows that occur n times, pos of them toxic."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        d = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        d = np.linalg.solve(h, x.T @ (pos - n * p) - ridge * w)
         w += d
         if np.abs(d).max() < 1e-6:
             break
@@ -160,9 +160,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
 
     # equal feature rows are counted together: the driver gets the few distinct ones, at most fit_rows
     seen = rows.select(extract("text").alias("x"), "toxic").groupBy("x").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
+    seen.sort(key=lambda r: r.x)  # sums in one order, so that reruns agree
     x = np.array([r.x for r in seen], dtype=float).reshape(-1, N_FEATURES)
-    x, y = np.repeat(x, [r.n for r in seen], axis=0), np.concatenate([[1.0] * r.pos + [0.0] * (r.n - r.pos) for r in seen] or [[]])
-    weights = logistic(scaled(x), y) if len(y) and 0 < y.sum() < len(y) else np.r_[np.zeros(N_FEATURES), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))]
+    toxic, n = (np.array([r[c] for r in seen], dtype=float) for c in ("pos", "n"))
+    weights = logistic(scaled(x), toxic, n) if 0 < toxic.sum() < n.sum() else np.r_[np.zeros(N_FEATURES), math.log((toxic.sum() + 0.5) / (n.sum() - toxic.sum() + 0.5))]
     return {"lexicon": lexicon, "weights": weights}
 
 
