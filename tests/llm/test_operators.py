@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -269,6 +270,23 @@ def test_quality_rules(docs, empty):
     assert quality_rules.distance(p, q)[0] == pytest.approx(0.5**0.5)
 
 
+def test_quality_references_are_exact(docs, empty):
+    words, classes = {}, {}
+    for r in docs.collect():
+        if r.lang is not None:
+            raw = (r.text or "").encode()
+            words.setdefault(r.lang, Counter()).update(raw.split())
+            classes[r.lang] = classes.get(r.lang, 0) + np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) @ quality_rules.TABLE
+    for parts in (1, 5):
+        got = quality_rules.references(docs.repartition(parts))
+        for i, lang in enumerate(sorted(words)):
+            n = words[lang].total()
+            want = {w: c / n for w, c in sorted(words[lang].items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON] if 4500 * c > n}
+            assert {w: s for w, s in got["words"][i].items() if w is not None} == pytest.approx(want)
+            assert got["classes"][i] == pytest.approx(classes[lang] / classes[lang].sum())
+    assert len(quality_rules.references(empty)["words"]) == 0
+
+
 def test_quality_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -297,6 +315,10 @@ def test_toxicity(spark, docs, empty):
     assert plain > denied and toxicity.features("you wretch", model["lexicon"])[0] > plain > toxicity.features("someone said the wretch", model["lexicon"])[0] > 0
     assert docs.select(score(F.coalesce("text", F.lit(""))).alias("x")).filter("x BETWEEN 0 AND 1").count() == docs.count()
     toxicity.fit(empty.select("text", F.lit(1).alias("toxic")))
+    x, toxic, n = np.array([[0.0], [1.0], [2.0]]), np.array([1.0, 2.0, 5.0]), np.array([9.0, 4.0, 6.0])
+    one_each = [(v, float(j < a)) for v, a, b in zip(x, toxic, n, strict=True) for j in range(int(b))]
+    apart = toxicity.logistic(np.array([v for v, _ in one_each]), np.array([y for _, y in one_each]), np.ones(len(one_each)))
+    assert toxicity.logistic(x, toxic, n) == pytest.approx(apart)  # rows with counts are the rows repeated
 
 
 def fingerprint(t):
