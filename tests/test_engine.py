@@ -171,3 +171,24 @@ def test_stream_upserts(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     upserts(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in latest(spark.read.parquet(f"{tmp_path}/out")).collect()] == [(1, [2.0])]
+
+
+@pytest.mark.parametrize("case", ["hot men", "hot women", "hot both", "ties"])
+def test_stable_match_leaves_nobody_single(spark, case):
+    """Without `proposals`; groups of equal vectors larger than the first lists, and many equal distances."""
+    rng = np.random.default_rng(5)
+    a, b = rng.random((30, 3)), rng.random((60, 3))
+    a[:20] = a[0] if case in ("hot men", "hot both") else a[:20]
+    b[10:40] = b[10] if case == "hot women" else a[0] if case == "hot both" else b[10:40]
+    if case == "ties":
+        a, b = rng.integers(0, 3, (30, 2)).astype(float), rng.integers(0, 3, (25, 2)).astype(float)
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vector array<double>")
+    got = {(r.left_key, r.right_key) for r in join.stable_match(frame(a), frame(b), "l2sq").collect()}
+    edges = sorted((round(float(((u - v) ** 2).sum()), 12), j, i) for i, u in enumerate(a) for j, v in enumerate(b))
+    want, men, women = set(), set(), set()
+    for _, j, i in edges:
+        if i not in men and j not in women:
+            want.add((i, j))
+            men.add(i)
+            women.add(j)
+    assert len(want) == min(len(a), len(b)) and got == want

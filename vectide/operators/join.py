@@ -1,31 +1,79 @@
 """One-to-one join by stable marriage.
 
-Both sides rank by one symmetric distance, so the stable match is the greedy one: again and again, pairs that are
-nearest to each other from both sides are matched and leave. Each man proposes to his `proposals` nearest women."""
+Both sides rank by one symmetric distance, ties by key, so there is one stable match, the greedy one by (distance, woman,
+man). Lists of the nearest free partners are made for both sides, equal vectors (a team) sharing one. The r-th of a team
+and its partner are matched if each stands r-th in the other's list and the team's members before do so likewise:
+for r = 1 these are pairs nearest to each other, and a whole run of a team is matched at once. The matched leave the
+lists; when a round finds no pair, all that are still free are searched again with lists twice as long, until one
+side is used up. Distances are compared to 12 digits."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.operators.knn import ranked, search
+from vectide.operators.knn import BLOCK, search
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _side(rows: DataFrame) -> DataFrame:
+    team = F.concat_ws("-", F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector"))
+    return _kept(rows.filter("vector IS NOT NULL").select(F.col("key").cast("long").alias("key"), "vector", team.alias("team")))
+
+
+def _lists(own: DataFrame, others: DataFrame, k: int, kind: str) -> DataFrame:
+    """(own, other, key, d): for each team of own its k nearest rows of others, and their team."""
+    teams = own.groupBy("team").agg(F.min("key").alias("query_id"), F.first("vector").alias("vector"))
+    near = search(teams, others, k, kind, block=max(1, BLOCK * 256 // max(k, 256))).select("query_id", "key", F.round("distance", 12).alias("d"), "distance")
+    return near.join(teams.select("query_id", F.col("team").alias("own")), "query_id").join(others.select("key", F.col("team").alias("other")), "key").select("own", "other", "key", "d", "distance")
+
+
+def _nth(df: DataFrame, name: str, by: str, *order: str) -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def _pairs(his: DataFrame, hers: DataFrame, men: DataFrame, k: int) -> DataFrame:
+    """(man, woman, distance) that the rule above matches; his (own, other, key, ...) and hers are lists of the free."""
+    front = _nth(men.select("team", "key"), "at_m", "team", "key").filter(F.col("at_m") <= k).select(F.col("key").alias("man"), "at_m")
+    # all free women of a team before a listed one are listed too
+    seen = _nth(his.select(F.col("other").alias("w"), F.col("key").alias("woman")).distinct(), "at_w", "w", "woman").select("woman", "at_w")
+    a = _nth(his, "r", "own", "d", "key").select(F.col("own").alias("m"), F.col("other").alias("w"), F.col("key").alias("woman"), "r", "distance").join(seen, "woman")
+    b = _nth(hers, "r", "own", "d", "key").select(F.col("own").alias("w"), F.col("other").alias("m"), F.col("key").alias("man"), "r").join(front, "man", "left")
+    both = a.join(b, ["m", "w", "r"])
+    runs = [_nth(both.filter(f"{at} = r"), "n", team, "r").filter("n = r").select("man", "woman", "distance") for at, team in (("at_m", "m"), ("at_w", "w"))]
+    return runs[0].unionByName(runs[1]).dropDuplicates(["man", "woman"])
 
 
 def stable_match(men: DataFrame, women: DataFrame, kind: str = "cos", proposals: int | None = None) -> DataFrame:
-    """(left_key, right_key, distance) from (key, vector) tables; a man whose proposals run out stays single."""
-    n = women.count()
-    proposals = proposals or min(n, math.ceil(math.log(max(n, 2))) + 4)
-    edges = search(men.select(F.col("key").alias("query_id"), "vector"), women, max(1, proposals), kind).select(F.col("query_id").alias("man"), F.col("key").alias("woman"), "distance")
-    matched = None
+    """(left_key, right_key, distance) from (key, vector) tables; all of the smaller side are matched.
+
+    proposals: the length of the first lists; the result doesn't depend on it."""
+    men, women, matched = _side(men), _side(women), None
     while True:
-        edges = edges.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else edges.cache()
-        if edges.isEmpty():
-            return (matched if matched is not None else edges).select(F.col("man").alias("left_key"), F.col("woman").alias("right_key"), "distance")
-        his = ranked(edges.select(F.col("man").alias("query_id"), F.col("woman").alias("key"), "distance"), 1).select(F.col("query_id").alias("man"), F.col("key").alias("woman"), "distance")
-        hers = ranked(edges.select(F.col("woman").alias("query_id"), F.col("man").alias("key"), "distance"), 1).select(F.col("key").alias("man"), F.col("query_id").alias("woman"))
-        both = his.join(hers, ["man", "woman"])
-        both = both.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else both.cache()
-        matched = both if matched is None else matched.unionByName(both)
-        edges = edges.join(both.select("man"), "man", "left_anti").join(both.select("woman"), "woman", "left_anti").select("man", "woman", "distance")
+        m, n = men.count(), women.count()
+        if not m or not n:
+            none = men.sparkSession.createDataFrame([], "man long, woman long, distance double")
+            return (matched if matched is not None else none).select(F.col("man").alias("left_key"), F.col("woman").alias("right_key"), "distance")
+        proposals = max(1, min(max(m, n), proposals or math.ceil(math.log(max(n, 2))) + 4))
+        his = _kept(_lists(men, women, proposals, kind))
+        hers = _kept(_lists(women.join(his.select("key").distinct(), "key", "left_semi"), men, proposals, kind))
+        fresh = True
+        while True:
+            both = _kept(_pairs(his, hers, men, proposals))
+            if both.isEmpty():
+                if not fresh:
+                    break
+                # only if a distance differs by the direction it was computed in: the least pair by itself
+                first = men.groupBy(F.col("team").alias("own")).agg(F.min("key").alias("man"))
+                both = _kept(his.join(first, "own").orderBy("d", "key", "man").limit(1).select("man", F.col("key").alias("woman"), "distance"))
+            fresh = False
+            matched = both if matched is None else matched.unionByName(both)
+            gone_m, gone_w = both.select(F.col("man").alias("key")), both.select(F.col("woman").alias("key"))
+            men, his = _kept(men.join(gone_m, "key", "left_anti")), _kept(his.join(gone_w, "key", "left_anti"))
+            women, hers = _kept(women.join(gone_w, "key", "left_anti")), _kept(hers.join(gone_m, "key", "left_anti"))
+        proposals *= 2
