@@ -192,3 +192,34 @@ def test_stable_match_leaves_nobody_single(spark, case):
             men.add(i)
             women.add(j)
     assert len(want) == min(len(a), len(b)) and got == want
+
+
+def test_string_distances_of_whole_texts(spark, tmp_path):
+    """Changes anywhere in a text count; the last rows differ after the second word only."""
+    texts = ["", "one", "zwei Wörter", "a  b\nécole ", None, "x y " + "été " * 300 + "été", "x y " + "été " * 300 + "other"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    def ham(a, b):
+        return sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b))
+
+    want = {name: {} for name in ("levenshtein_bytes_whole", "hamming_unicode_whole", "sql_distance_strings_whole")}
+    for i, t in enumerate(texts):
+        if t is not None:
+            w = t.replace("\n", " ").split(" ")
+            w += [""] * (len(w) < 2)
+            ls, hs = [lev(a.encode(), b.encode()) for a, b in zip(w, w[1:], strict=False)], [ham(a, b) for a, b in zip(w, w[1:], strict=False)]
+            want["levenshtein_bytes_whole"][i] = (sum(ls), sum(min(d, 3) for d in ls))
+            want["hamming_unicode_whole"][i] = (sum(hs), sum(min(d, 3) for d in hs))
+            want["sql_distance_strings_whole"][i] = (sum(ls), sum(min(d, 2) for d in hs))
+    for name, rows in want.items():
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == len(rows) and {r.doc_id: tuple(r)[1:] for r in got} == rows, name
+        assert rows[5] != rows[6]

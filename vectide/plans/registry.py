@@ -256,6 +256,35 @@ def levenshtein_unicode(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", strings.levenshtein_unicode(a, b).alias("distance"), strings.levenshtein_unicode(a, b, 4).alias("bounded"))
 
 
+def _word_pairs(spark, sf_dir):
+    """(row, doc_id, a, b): all neighbouring words of each document; the empty word stands beside an only one."""
+    w = F.split("text", "[ \\n]", -1)
+    w = F.when(F.size(w) < 2, F.concat(w, F.array(F.lit("")))).otherwise(w)
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w"))
+    n = F.size("w") - 1
+    pairs = d.select("row", "doc_id", F.explode(F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"))).alias("p"))
+    return pairs.select("row", "doc_id", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+
+
+def _whole(pairs: DataFrame, **sums) -> DataFrame:
+    """A row for each document: the sums over its pairs."""
+    return pairs.groupBy("row", "doc_id").agg(*[F.sum(c).alias(name) for name, c in sums.items()]).drop("row")
+
+
+@query()
+def levenshtein_bytes_whole(spark, sf_dir):
+    """Whole texts; tests hold it against brute force."""
+    d = _word_pairs(spark, sf_dir).select("row", "doc_id", strings.levenshtein_bytes(F.col("a"), F.col("b")).alias("d"))
+    return _whole(d, distance=F.col("d"), bounded=F.least("d", F.lit(3)))
+
+
+@query()
+def hamming_unicode_whole(spark, sf_dir):
+    """Whole texts; tests hold it against brute force."""
+    d = _word_pairs(spark, sf_dir).select("row", "doc_id", strings.hamming_unicode(F.col("a"), F.col("b")).alias("d"))
+    return _whole(d, distance=F.col("d"), bounded=F.least("d", F.lit(3)))
+
+
 def _ham(a: str, b: str) -> str:
     return f"(coalesce(list_sum(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: (substr({a}, i, 1) <> substr({b}, i, 1))::INTEGER)), 0) + abs(length({a}) - length({b})))::INTEGER"
 
@@ -436,6 +465,14 @@ def sql_distance_strings(spark, sf_dir):
     return _first_words(spark, sf_dir).selectExpr("doc_id", "distance_levenshtein_bytes(a, b) AS lev", "distance_hamming_unicode(a, b, 2) AS ham2")
 
 
+@query()
+def sql_distance_strings_whole(spark, sf_dir):
+    """Whole texts; tests hold it against brute force."""
+    register(spark)
+    d = _word_pairs(spark, sf_dir).selectExpr("row", "doc_id", "distance_levenshtein_bytes(a, b) AS lev", "distance_hamming_unicode(a, b, 2) AS ham2")
+    return _whole(d, lev=F.col("lev"), ham2=F.col("ham2"))
+
+
 @query("SELECT vec_id AS key, generate_subscripts(embedding, 1)::INTEGER - 1 AS dim, round(unnest(embedding)::DOUBLE, 6) + 0.0 AS value FROM embeddings")
 def table_round_trip(spark, sf_dir):
     """Saved as a vector table in the shared folder, and loaded as a view."""
