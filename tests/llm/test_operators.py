@@ -321,6 +321,14 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.logistic(x, toxic, n) == pytest.approx(apart)  # rows with counts are the rows repeated
 
 
+def test_toxicity_ranks_all_words(spark):
+    """A telling word in fewer toxic documents than 21,000 harmless words is learned."""
+    harmless = " ".join("q" + "".join(chr(97 + i // 26**j % 26) for j in range(4)) for i in range(21_000))
+    rows = [(harmless + " grumbly" * (i < 4), int(i < 8)) for i in range(48)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))["lexicon"]
+    assert set(lexicon) - set(toxicity.FIXED) == {"grumbly"}
+
+
 def fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
     if not w:

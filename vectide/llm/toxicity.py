@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import blocks, bounded_batches
+from vectide.llm.common import blocks, bounded_batches, forget, written
 
-FIT_ROWS, CANDIDATES, LEXICON, LEAST_DOCUMENTS, LEAST_ODDS = 50_000, 20_000, 2_000, 3, 2.5
+FIT_ROWS, LEXICON, LEAST_DOCUMENTS, LEAST_ODDS = 50_000, 2_000, 3, 2.5
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
 WORDS = {
     THREAT: "kill hurt destroy burn shoot stab punch beat töten schlagen tuer frapper matar golpear",
@@ -118,21 +118,16 @@ def logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray, rounds: int = 60, ri
     return w
 
 
-def _word_counts(known: frozenset | None):
-    """(word, n) of a task: documents with the word, for all words or the known ones; the word "" counts documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, int] = {"": 0}
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                for text in block:
-                    words = set(TOKEN.findall(text.lower()))
-                    for w in words if known is None else words & known:
-                        found[w] = found.get(w, 0) + 1
-                found[""] += len(block)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    return run
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of a task: documents with the word; the word "" counts documents."""
+    found: dict[str, int] = {"": 0}
+    for batch in batches:
+        for block in blocks(batch.column(0)):
+            for text in block:
+                for w in set(TOKEN.findall(text.lower())):
+                    found[w] = found.get(w, 0) + 1
+            found[""] += len(block)
+    yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
@@ -143,16 +138,19 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     if total > fit_rows:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
 
-    def counts(toxic: int, known: frozenset | None = None) -> DataFrame:
-        return rows.filter(F.col("toxic") == toxic).select("text").mapInArrow(_word_counts(known), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-    # first the words of toxic documents, then how often the others have these: most words never leave their task
-    pos = counts(1).filter(f"word = '' OR n >= {LEAST_DOCUMENTS}").orderBy(F.col("word") != "", F.desc("n"), "word").limit(CANDIDATES).collect()
-    neg = {r.word: r.n for r in counts(0, frozenset(r.word for r in pos) - {""}).collect()}
-    n_pos, n_neg = next((r.n for r in pos if not r.word), 0), neg.get("", 0)
-    odds = {r.word: (math.log((r.n + 0.5) / (n_pos + 1.0)) - math.log((neg.get(r.word, 0) + 0.5) / (n_neg + 1.0)), r.n) for r in pos if r.word}
-    top = sorted((w for w, (o, _) in odds.items() if o >= LEAST_ODDS), key=lambda w: (-odds[w][0] * odds[w][1] ** 0.5, w))[:LEXICON]
-    lexicon = FIXED | {w: (INSULT, odds[w][0]) for w in top if w not in FIXED}
+    def counts(toxic: int) -> DataFrame:
+        return rows.filter(F.col("toxic") == toxic).select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    # all words of enough toxic documents are ranked by their odds, in Spark; only those that make the lexicon leave it
+    pos, neg = counts(1).filter(f"word = '' OR n >= {LEAST_DOCUMENTS}"), counts(0).withColumnRenamed("n", "m")
+    both = written(pos.join(neg, "word", "left").select("word", "n", F.coalesce("m", F.lit(0)).alias("m")), "words")
+    docs = both.filter("word = ''").first()
+    n_pos, n_neg = (docs.n, docs.m) if docs else (0, 0)
+    odds = F.log((F.col("n") + 0.5) / (n_pos + 1.0)) - F.log((F.col("m") + 0.5) / (n_neg + 1.0))
+    ranks = both.filter("word <> ''").withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+    top = ranks.orderBy(F.desc(F.col("odds") * F.sqrt("n")), "word").limit(LEXICON).select("word", "odds").collect()
+    forget(both)
+    lexicon = FIXED | {r.word: (INSULT, r.odds) for r in top if r.word not in FIXED}
 
     @F.arrow_udf("array<double>")
     def extract(texts: pa.Array) -> pa.Array:
