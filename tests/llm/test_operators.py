@@ -356,6 +356,13 @@ def test_simhash(docs, empty):
     assert simhash_dedup.near_duplicates(empty, F.col("doc_id"), F.col("text")).count() == 0
 
 
+def test_keep_one_of_each_group_that_shares_an_id(spark):
+    """Two unlike texts with one id both stay; so does the unique one if the other has a near copy."""
+    rows = [(1, PROSE[0]), (1, PROSE[1]), (2, PROSE[2]), (3, PROSE[2]), (2, PROSE[3]), (3, PROSE[3])]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted({(1, PROSE[0]), (1, PROSE[1]), (2, PROSE[2]), (2, PROSE[3])})
+
+
 def components(points, r=4):
     """Plain: repeated minimum over all pairs."""
     group = list(range(len(points)))

@@ -214,13 +214,18 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, r: int = RADI
 
     Nulls: a null text is empty; a null doc_id never is the smallest unless its component has no other. Repeated rows
     stay repeated. Empty input: no rows. Other columns of docs are not read."""
+    return _grouped(docs, doc_id, text, r, shard_rows).drop("group")
+
+
+def _grouped(docs: DataFrame, doc_id: Column, text: Column, r: int = RADIUS, shard_rows: int = 20_000) -> DataFrame:
+    """near_duplicates with the component itself (group), which tells apart components whose smallest ids are equal."""
     fps = written(docs.select(doc_id.alias("doc_id"), fingerprint(text).alias("fp")), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(link(distinct.select("fp"), distinct.count(), r, shard_rows))
     by_fp = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = by_fp.join(least, "root").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = by_fp.join(least, "root").select("fp", "component_id", F.col("root").alias("group"))
+    return fps.join(ids, "fp").select("doc_id", "fp", "component_id", "group")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -228,14 +233,15 @@ def hex_digits(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each near-duplicate group; the row with the smallest doc_id stays.
+    """docs without all but one row of each near-duplicate group; a row with the smallest doc_id stays.
 
-    A row with a null doc_id goes by a negative number made from its text; of repeated rows with one id one stays."""
-    ident = F.coalesce(F.col("doc_id"), -F.abs(F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 1)) - 1)
-    kept = near_duplicates(docs, ident, F.col("text")).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("ident"))
+    A row with a null doc_id goes by a negative number made from its text; of repeated rows with one id one stays.
+    Rows that share an id but not a group are kept apart: one stays for each group."""
     from pyspark.sql import Window
 
-    first = F.row_number().over(Window.partitionBy("ident").orderBy(F.xxhash64("row.text"), F.xxhash64("row")))
-    rows = rows.join(kept.withColumnRenamed("doc_id", "ident"), "ident", "left_semi")
+    ident = F.coalesce(F.col("doc_id"), -F.abs(F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 1)) - 1)
+    # (ident, fp) says which group a row is in; only rows that could be the group's smallest id are looked at again
+    kept = _grouped(docs, ident, F.col("text")).filter("doc_id = component_id").select(F.col("doc_id").alias("ident"), "fp", "group").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("ident"), fingerprint(F.col("text")).alias("fp")).join(kept, ["ident", "fp"])
+    first = F.row_number().over(Window.partitionBy("ident", "group").orderBy(F.xxhash64("row.text"), F.xxhash64("row")))
     return rows.withColumn("nth", first).filter("nth = 1").select("row.*")
