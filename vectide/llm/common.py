@@ -34,6 +34,16 @@ def held_out(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def bounded_sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """About `most` of the different rows, chosen by their hash, so alike for any layout; all different rows if there are no more than that.
+
+    Copies count once, so a text that makes up a third of all rows adds one."""
+    total = rows.count()
+    if total > most:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 30)) < int((1 << 30) * most / total))
+    return rows.distinct()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application's below spark.checkpoint.dir; a local one only where that is unset and Spark is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")

@@ -1,7 +1,9 @@
 """Encoding by the tokenizers library, in pieces that are encoded once.
 
-A text is cut at boundaries that no token crosses, so that its ids are the pieces' ids in order; a worker keeps the
-ids of the first `KEPT` pieces it meets, which holds the frequent ones; others are encoded each time. Which boundaries are safe depends on the vocabulary's pre-tokenizer:
+A text is cut at boundaries that no token crosses, so that its ids are the pieces' ids in order. A worker keeps the
+values of up to `KEPT` pieces that it met twice: a piece met once waits among at most `WAITING` others for its second
+time, so rare ones fill no places; others are encoded each time. Word-level vocabularies take a block of texts at once:
+its different pieces are looked up once, and numpy puts their ids in the texts' order. Which boundaries are safe depends on the vocabulary's pre-tokenizer:
 
 byte-level (a token may start with one space, never holds a space after another character): before each space or line
 end that follows a character that isn't white space; after a line end if no white space follows.
@@ -19,10 +21,14 @@ from array import array
 from collections.abc import Callable, Iterable
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-KEPT, LONG = 1 << 18, 1 << 16
+KEPT, WAITING, LONG = 1 << 18, 1 << 17, 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LONG = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -36,29 +42,37 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """piece -> kept value, made when first asked for."""
+    """piece -> value, kept from the piece's second time on."""
 
     def __init__(self, of: Encoder, space: bool):
-        self.of, self.space, self.missed = of, space, 0
+        self.of, self.space, self.missed, self.waiting = of, space, 0, {}
 
     def __missing__(self, piece: str):
-        value = self._value(piece)
-        if len(piece) < 64:
-            if len(self) < KEPT:
-                self[piece] = value
-            else:
-                self.missed += 1
-                if self.missed > 8 * KEPT:  # the pieces kept are of other texts than these
-                    self.clear()
-                    self.missed = 0
+        waiting = self.waiting
+        if (value := waiting.pop(piece, None)) is None:
+            value = self._value(piece)
+            if len(piece) < 64:
+                if len(waiting) >= WAITING:
+                    waiting.clear()
+                waiting[piece] = value
+        elif len(self) < KEPT:
+            self[piece] = value
+        else:
+            self.missed += 1
+            if self.missed > KEPT:  # the pieces kept are of other texts than these
+                self.clear()
+                self.missed = 0
         return value
 
     def _value(self, piece: str):
         of = self.of
-        if _word(piece):
-            if of.drops_space and (low := piece.lower()) != piece:
-                return self[low]
-            return of.make([t.id for t in of.library.model.tokenize(of.letters(piece, self.space))])
+        if piece.isalpha() and _word(piece):
+            if of.drops_space:
+                if piece != (low := piece.lower()):
+                    return self[low]
+                if piece.isascii():
+                    return of.make([t.id for t in of.tokenize(piece)])
+            return of.make([t.id for t in of.tokenize(of.letters(piece, self.space))])
         if piece[-1:] in of.marks and _word(piece[:-1]):
             return self[piece[:-1]] + of.marks[piece[-1]]
         if not piece:
@@ -73,6 +87,15 @@ def _word(piece: str) -> bool:
     return piece.isalpha() and len(piece) < 200 and (piece.isascii() or _LETTERS.fullmatch(piece) is not None)
 
 
+def _is_latin(text: str) -> bool:
+    """All below U+0100, where lower case is one character for another and normal form C changes nothing."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """One vocabulary file; `make` turns a piece's ids into what is kept for it (a count, or packed ids)."""
 
@@ -82,8 +105,9 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.drops_space = "Lowercase" in str(self.library.normalizer)
-        self.bytes = _byte_alphabet()
+        self.bytes, self.tokenize = _byte_alphabet(), self.library.model.tokenize
         self.kept, self.after = _Kept(self, False), _Kept(self, True)  # after: pieces that follow a space, written without it
+        self.known = _Known(self)
         self.marks = {m: make(self.library.encode(m, add_special_tokens=False).ids) for m in (".", ",")}
 
     def letters(self, word: str, space: bool) -> str:
@@ -99,6 +123,8 @@ class Encoder:
     def encode(self, text: str) -> Iterable:
         """The kept values of text's pieces, in order."""
         if self.drops_space:
+            if "<|" not in text and _is_latin(text):  # lower case once for all; special tokens are read in their own case
+                text = text.lower()
             return self._look(text.replace("\n", " ").split(" "), False)
         if "  " not in text and "\n " not in text and " \n" not in text and "\n\n" not in text and text[:1] not in " \n" and text[-1:] not in " \n":
             lines = [line.split(" ") for line in text.split("\n")]
@@ -111,6 +137,66 @@ class Encoder:
                 return out
         return self._look(_SAFE.split(text), False)
 
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        out, quick = [b""] * len(texts), []
+        for i, text in enumerate(texts):
+            if self.drops_space and "<|" not in text and _is_latin(text):
+                quick.append(i)
+            else:
+                out[i] = b"".join(self.encode(text))
+        if quick:
+            words = pc.split_pattern(pa.array([texts[i].lower().replace("\n", " ") for i in quick], type=pa.large_string()), " ")
+            pieces = words.values.dictionary_encode()
+            known, starts, sizes = self.known.look(pieces.dictionary)
+            at = pieces.indices.to_numpy()
+            n = sizes[at]
+            ends = np.cumsum(n)  # of each piece's ids in the result
+            ids = known[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])]
+            cuts = np.r_[0, ends][words.offsets.to_numpy()].tolist()
+            for i, a, b in zip(quick, cuts, cuts[1:], strict=False):
+                out[i] = ids[a:b].tobytes()
+        return out
+
+
+class _Known:
+    """The pieces kept for blocks: Arrow strings and, in one array, their ids."""
+
+    def __init__(self, of: Encoder):
+        self.of, self.waiting, self.before, self.missed = of, {}, {}, 0  # waiting: before is the generation that goes next
+        self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, of.form), np.zeros(0, np.int64)
+
+    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each of the different words starts and how many it has."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        pieces, again, values = words.take(pa.array(new)).to_pylist(), [], []
+        waiting, before, value = self.waiting, self.before, self.of.kept._value
+        for i, piece in enumerate(pieces):
+            if (v := waiting.pop(piece, None)) is not None or (v := before.pop(piece, None)) is not None:
+                again.append(i)
+            else:
+                v = value(piece)
+                if len(piece) < 64:
+                    waiting[piece] = v
+            values.append(v)
+        if len(waiting) > WAITING // 2:
+            self.waiting, self.before = {}, waiting
+        more, size = np.frombuffer(b"".join(values), self.ids.dtype), np.fromiter(map(len, values), np.int64, len(values)) // self.ids.dtype.itemsize
+        ids, sizes = np.concatenate([self.ids, more]), np.concatenate([self.sizes, size])
+        at[new] = len(self.words) + np.arange(len(new))
+        starts = np.cumsum(sizes) - sizes
+        found = ids, starts[at], sizes[at]
+        if len(self.words) + len(again) <= KEPT:
+            self.words = pa.concat_arrays([self.words, pa.array([pieces[i] for i in again], pa.large_string())])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join([values[i] for i in again]), self.ids.dtype)])
+            self.sizes = np.concatenate([self.sizes, size[again]])
+        else:
+            self.missed += len(again)
+            if self.missed > KEPT:  # the pieces kept are of other texts than these
+                self.__init__(self.of)
+        return found
+
 
 _ENCODERS: dict = {}  # of a worker
 

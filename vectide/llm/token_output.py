@@ -2,9 +2,9 @@
 
 Format, three Parquet tables in a folder (any store Spark writes to):
   dictionary/  one row: hash (sha256 of the bytes, hex), bytes (the trained dictionary), width (bytes an id)
-  starts/      shard, part, start (ids of all documents before the run)
-  shards/      one row a run of up to `shard_rows` documents and about `shard_bytes` bytes: shard, part, hash (of the dictionary to read it by),
-               doc_ids, n_tokens, offsets (n + 1 positions in payload), payload
+  starts/      shard, start (ids of all documents before the shard); one row a task that wrote, so small at any size
+  shards/      one row a run of up to `shard_rows` documents and about `shard_bytes` bytes: shard, before (ids of the shard's earlier runs),
+               hash (of the dictionary to read it by), doc_ids, n_tokens, offsets (n + 1 positions in payload), payload
 Ids are little-endian unsigned integers of `width` bytes. A reader finds a document by doc_ids (Parquet's statistics
 prune shards), takes payload[offsets[i]:offsets[i + 1]] and decompresses that frame alone with the dictionary.
 
@@ -25,26 +25,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import blocks, bounded_batches, forget, shared_folder, written
+from vectide.llm.common import blocks, bounded_batches, bounded_sample, drop_folder, forget, shared_folder, written
 from vectide.llm.encoding import encoder
 
 END, LEVEL = 1, 3
 SAMPLES, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 4_000, 64 << 10
 
 
-def ids_of(path: str, text: str, end: int = END) -> bytes:
-    """The packed ids of a whole text, with the end id."""
+def ids_of(path: str, texts: list[str], end: int = END) -> list[bytes]:
+    """The packed ids of whole texts, each with the end id."""
     e = encoder(path, "pack")
-    return b"".join(e.encode(text)) + e.make([end])
+    last = e.make([end])
+    return [ids + last for ids in e.packed(texts)]
 
 
 def train(docs: DataFrame, path: str, samples: int = SAMPLES, sample_chars: int = SAMPLE_CHARS) -> bytes:
-    """About `samples` short texts reach the driver, however many copies of a text there are."""
-    n = docs.select(F.lit(1)).count()
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.rand(11) < F.lit(min(1.0, samples / max(1, n))))
-    rows = sorted(r.text for r in rows.filter(F.length("text").between(1, sample_chars)).collect())
+    """About `samples` short texts reach the driver, the same however the rows lie, and however many copies a text has."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded_sample(rows, samples, 11).filter(F.length("text").between(1, sample_chars))
+    texts = sorted(r.text for r in rows.select("text").collect())
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [ids_of(path, text) for text in rows], level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, ids_of(path, texts), level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -62,20 +63,20 @@ def _decompressor(dictionary: bytes):
     return zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
 
 
-_SHARD = "part int, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
+_SHARD = "before long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
 
 def _pack(shard_rows: int, shard_bytes: int):
     """mapInArrow over (doc_id, n_tokens, frame) in order: a row for each run of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = size = 0
+        before = size = 0
         ids, tokens, frames = [], [], []
 
         def put():
             offsets = np.r_[0, np.cumsum([len(f) for f in frames])].tolist()
-            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, ids, tokens, offsets, b"".join(frames)], kinds, strict=True)], names=["part", "doc_ids", "n_tokens", "offsets", "payload"])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([before, ids, tokens, offsets, b"".join(frames)], kinds, strict=True)], names=["before", "doc_ids", "n_tokens", "offsets", "payload"])
 
         for batch in batches:
             for i, n, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -85,7 +86,7 @@ def _pack(shard_rows: int, shard_bytes: int):
                 size += len(f)
                 if len(ids) >= shard_rows or size >= shard_bytes:
                     yield put()
-                    part, size, ids, tokens, frames = part + 1, 0, [], [], []
+                    before, size, ids, tokens, frames = before + sum(tokens), 0, [], [], []
         if ids:
             yield put()
 
@@ -106,8 +107,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END, shard_
     def encode(texts: pa.Array) -> pa.Array:
         compress, n, frames = _compressor(dictionary).compress, [], []
         for block in blocks(texts):
-            for text in block:
-                raw = ids_of(path, text, end)
+            for raw in ids_of(path, block, end):
                 n.append(len(raw) // width)
                 frames.append(compress(raw))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(frames, pa.binary())], names=["n", "frame"])
@@ -119,10 +119,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END, shard_
     shards = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "frame").mapInArrow(_pack(shard_rows, shard_bytes), _SHARD)
     shards.select(F.spark_partition_id().alias("shard"), "*", F.lit(digest).alias("hash")).write.parquet(f"{folder}/shards")
     forget(rows)
-    # where each shard starts: a running sum over a small table, one row a shard
-    counts = spark.read.parquet(f"{folder}/shards").select("shard", "part", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    starts = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("shard", "part")) - F.col("n")).alias("start"))
-    starts.write.parquet(f"{folder}/starts")
+    counts = spark.read.parquet(f"{folder}/shards").groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    # a running sum over one row a task that wrote
+    counts.select("shard", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("shard")) - F.col("n")).alias("start")).write.parquet(f"{folder}/starts")
 
 
 def read_tokens(spark: SparkSession, folder: str, result: str, of):
@@ -147,8 +146,8 @@ def read_tokens(spark: SparkSession, folder: str, result: str, of):
                     start += tokens[i]
                 yield pa.RecordBatch.from_pylist(out, schema=_arrow(result))
 
-    shards = spark.read.parquet(f"{folder}/shards").join(spark.read.parquet(f"{folder}/starts"), ["shard", "part"])
-    return shards.select("hash", "start", "doc_ids", "n_tokens", "offsets", "payload").mapInArrow(run, result)
+    shards = spark.read.parquet(f"{folder}/shards").join(F.broadcast(spark.read.parquet(f"{folder}/starts")), "shard")
+    return shards.select("hash", (F.col("start") + F.col("before")).alias("start"), "doc_ids", "n_tokens", "offsets", "payload").mapInArrow(run, result)
 
 
 def _arrow(result: str) -> pa.Schema:
