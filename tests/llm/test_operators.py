@@ -360,7 +360,8 @@ def test_keep_one_of_each_group_that_shares_an_id(spark):
     """Two unlike texts with one id both stay; so does the unique one if the other has a near copy."""
     rows = [(1, PROSE[0]), (1, PROSE[1]), (2, PROSE[2]), (3, PROSE[2]), (2, PROSE[3]), (3, PROSE[3])]
     kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(map(tuple, kept.collect())) == sorted({(1, PROSE[0]), (1, PROSE[1]), (2, PROSE[2]), (2, PROSE[3])})
+    same = simhash_dedup.keep_one(spark.createDataFrame(rows * 3, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, same.collect())) == sorted({(1, PROSE[0]), (1, PROSE[1]), (2, PROSE[2]), (2, PROSE[3])})
 
 
 def components(points, r=4):
@@ -373,8 +374,8 @@ def components(points, r=4):
         group = new
 
 
-@pytest.mark.parametrize("shard_rows", [20_000, 30])
-def test_links_of_dense_fingerprints(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows,hubs", [(20_000, 128), (30, 128), (30, 2)])
+def test_links_of_dense_fingerprints(spark, shard_rows, hubs):
     r = random.Random(2)
     points = set()
     for _ in range(12):
@@ -388,7 +389,7 @@ def test_links_of_dense_fingerprints(spark, shard_rows):
     points = sorted(points)
     signed = [simhash_dedup._signed(p) for p in points]
     distinct = spark.createDataFrame([(p,) for p in signed], "fp long")
-    roots = {x.node: x.root for x in simhash_dedup.components(simhash_dedup.link(distinct, len(points), shard_rows=shard_rows)).collect()}
+    roots = {x.node: x.root for x in simhash_dedup.components(simhash_dedup.link(distinct, len(points), shard_rows=shard_rows, hubs=hubs)).collect()}
     want, got = {}, {}
     for p, s, g in zip(points, signed, components(points), strict=True):
         want.setdefault(g, set()).add(p)
@@ -396,9 +397,41 @@ def test_links_of_dense_fingerprints(spark, shard_rows):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_one_family_of_100000_fingerprints(spark, monkeypatch):
+    """All within 4 bits of one centre, and two far off: one component and two, from few rows and little time a shard."""
+    rng, family = np.random.default_rng(8), set()
+    while len(family) < 100_000:
+        for bits in rng.integers(0, 64, (20_000, 4)).tolist():
+            x = 0
+            for b in bits:
+                x |= 1 << b
+            family.add(x)
+    points = sorted(family)[:100_000]
+    far = [((1 << 64) - 1) ^ 1, (0xFFFFFFFF << 32) ^ 7]
+    sharded, rows = simhash_dedup._sharded, []
+    monkeypatch.setattr(simhash_dedup, "_sharded", lambda *a: rows.append(out := sharded(*a)) or out)
+    distinct = spark.createDataFrame([(simhash_dedup._signed(p),) for p in points + far], "fp long")
+    roots = simhash_dedup.components(simhash_dedup.link(common.written(distinct, "family"), len(points) + 2))
+    assert roots.count() == len(points) and roots.select("root").distinct().count() == 1
+    assert len(rows) > 1 and sum(r.count() for r in rows) < 10 * len(points)
+
+
+def test_forest_of_a_dense_family_is_quick():
+    points = np.unique(np.array([(1 << a) | (1 << b) | (1 << c) for a in range(64) for b in range(a) for c in range(b)], dtype=np.uint64))
+    tree, visits = simhash_dedup.VantageTree, []
+    take = tree.take
+    try:
+        tree.take = lambda self, point, r: visits.append(1) or take(self, point, r)
+        assert len(list(simhash_dedup.forest(points))) == len(points) - 1
+    finally:
+        tree.take = take
+    assert len(visits) < len(points) / 20
+
+
 @pytest.mark.parametrize("n", [10, (1 << 20) + 1, (1 << 27) + 1])
-def test_block_choices_catch_every_pair(n):
-    masks, r = simhash_dedup._choices(n, 4), random.Random(5)
+@pytest.mark.parametrize("more", [0, 1, 3])
+def test_block_choices_catch_every_pair(n, more):
+    masks, r = simhash_dedup._choices(n, 4, more), random.Random(5)
     for _ in range(2000):
         x = sum(1 << b for b in r.sample(range(64), 4))
         assert any(x & m == 0 for m in masks)

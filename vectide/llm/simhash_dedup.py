@@ -7,12 +7,14 @@ empty or null text has fingerprint zero and links like any other.
 Linking works on distinct fingerprints, so exact copies cost nothing. Two fingerprints that differ in at most r bits
 agree on at least b - r of any b disjoint blocks of bits. The Hamming distance restricted to a choice of b - r blocks
 is a metric in which such a pair has distance 0, so a shard is a set of fingerprints at distance 0 from one vantage
-point in that metric, for each choice. A shard above `shard_rows` is split by vantage points in the full distance:
-its median radius m divides it in an inner and an outer shard, and inner points within r of m visit the outer one as
-guests (the triangle bound: no others can have a partner there). Each shard then is searched in memory by a
-vantage-point tree that skips branches by the same bound, and yields the edges of a spanning forest only.
-Components: minimum-neighbour contraction with pointer jumping, each step a table in the shared folder.
-Nothing that grows with the input reaches the driver."""
+point in that metric, for each choice. Each shard is searched in memory by a vantage-point tree that skips branches by
+the triangle bound and those whose points all are linked already, and yields the edges of a spanning forest only.
+
+A shard above `shard_rows` isn't random: many of its fingerprints are near each other, or share many bits. It is
+contracted first. In each round about `hubs` points that no hub is near become hubs, and every point of the shard is linked to
+all hubs within r; a hub then has all its links and leaves. If the other points end up in one component, nothing is
+left to find. Otherwise they are cut into shards by more and narrower blocks.
+Components: minimum-neighbour contraction with pointer jumping, each step a table in the shared folder."""
 
 from __future__ import annotations
 
@@ -57,47 +59,52 @@ def fingerprint(text: Column) -> Column:
 
 
 class VantageTree:
-    """A vantage-point tree over unsigned 64-bit fingerprints; visited points are left out of later answers."""
+    """A vantage-point tree over unsigned 64-bit fingerprints; points that were found are left out of later answers."""
 
-    LEAF = 48
+    LEAF = 256
 
     def __init__(self, points: np.ndarray):
         self.points, self.open = points, np.ones(len(points), dtype=bool)
         self.root = self._build(np.arange(len(points)))
 
-    def _build(self, ids: np.ndarray):
-        if len(ids) <= self.LEAF:
-            return ids
-        vantage = self.points[ids[len(ids) // 2]]
-        far = np.bitwise_count(self.points[ids] ^ vantage)
-        radius = int(np.median(far))
-        inner = far <= radius
-        if inner.all():
-            inner = far < radius
-            radius -= 1
-            if not inner.any():
-                return ids
-        return vantage, radius, self._build(ids[inner]), self._build(ids[~inner])
+    def _build(self, ids: np.ndarray) -> list:
+        """[number of open points, open points] of a leaf, [number, vantage, radius, inner, outer] of a branch."""
+        if len(ids) > self.LEAF:
+            vantage = self.points[ids[len(ids) // 2]]
+            far = np.bitwise_count(self.points[ids] ^ vantage)
+            radius = int(np.median(far))
+            radius -= int(far.max()) <= radius
+            inner = far <= radius
+            if inner.any():
+                return [len(ids), vantage, radius, self._build(ids[inner]), self._build(ids[~inner])]
+        return [len(ids), ids]
 
     def take(self, point: np.uint64, r: int) -> np.ndarray:
         """The open points within r of point; they are closed from now on."""
-        found, stack = [], [self.root]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, np.ndarray):
-                ids = node[self.open[node]]
-                found.append(ids[np.bitwise_count(self.points[ids] ^ point) <= r])
-                continue
-            vantage, radius, inner, outer = node
-            d = int(np.bitwise_count(vantage ^ point))
-            if d - r <= radius:
-                stack.append(inner)
-            if d + r > radius:
-                stack.append(outer)
+        found: list[np.ndarray] = []
+        self._take(self.root, point, r, found)
         ids = np.concatenate(found) if found else np.array([], dtype=int)
         self.open[ids] = False
         return ids
 
+    def _take(self, node: list, point: np.uint64, r: int, found: list) -> int:
+        if not node[0]:
+            return 0
+        if len(node) == 2:
+            near = np.bitwise_count(self.points[node[1]] ^ point) <= r
+            n = int(near.sum())
+            if n:
+                found.append(node[1][near])
+                node[1] = node[1][~near]
+        else:
+            d, n = int(np.bitwise_count(node[1] ^ point)), 0
+            if d - r <= node[2]:
+                n += self._take(node[3], point, r, found)
+            if d + r > node[2]:
+                n += self._take(node[4], point, r, found)
+        node[0] -= n
+        return n
+
 
 def forest(points: np.ndarray, r: int = RADIUS) -> Iterator[tuple[int, int]]:
     """Edges of a spanning forest of the graph that links points (distinct, uint64) within r bits."""
@@ -105,13 +112,13 @@ def forest(points: np.ndarray, r: int = RADIUS) -> Iterator[tuple[int, int]]:
     for start in range(len(points)):
         if not tree.open[start]:
             continue
-        tree.open[start] = False
         queue = [start]
-        while queue:
+        while queue and tree.root[0]:
             at = queue.pop()
-            for to in tree.take(points[at], r):
-                yield at, int(to)
-                queue.append(int(to))
+            for to in tree.take(points[at], r).tolist():
+                if to != at:
+                    yield at, to
+                    queue.append(to)
 
 
 def _shard_edges(r: int, small: int = 48):
@@ -139,23 +146,30 @@ def _shard_edges(r: int, small: int = 48):
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, fp = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        kept, n = [], 0  # batches from the start of the shard that may go on
         for batch in batches:
-            shard = np.concatenate([shard, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False)])
-            if len(shard) > 200_000 and shard[0] != shard[-1]:
-                done = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
-                yield from edges(shard[:done], fp[:done])
-                shard, fp = shard[done:], fp[done:]
-        if len(shard):
-            yield from edges(shard, fp)
+            shard, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(shard):
+                continue
+            if n > 200_000 and kept[0][0][0] != shard[-1]:
+                cut = int(np.searchsorted(shard, shard[-1]))
+                kept.append((shard[:cut], fp[:cut]))
+                whole, points = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
+                done = len(whole) if cut else int(np.searchsorted(whole, shard[-1]))
+                yield from edges(whole[:done], points[:done])
+                kept, n = [(whole[done:], points[done:])] if done < len(whole) else [], len(whole) - done
+                shard, fp = shard[cut:], fp[cut:]
+            kept.append((shard, fp))
+            n += len(shard)
+        if kept:
+            yield from edges(*(np.concatenate([k[i] for k in kept]) for i in (0, 1)))
 
     return run
 
 
-def _choices(n: int, r: int) -> list[int]:
-    """Bit masks: each pair within r bits agrees on all bits of at least one. More rows: more bits a mask."""
-    total = r + 1 if n <= 1 << 20 else r + 2 if n <= 1 << 27 else r + 3
+def _choices(n: int, r: int, more: int = 0) -> list[int]:
+    """Bit masks: each pair within r bits agrees on all bits of at least one. More rows, or `more` blocks: more bits a mask."""
+    total = (r + 1 if n <= 1 << 20 else r + 2 if n <= 1 << 27 else r + 3) + more
     edges = [round(64 * i / total) for i in range(total + 1)]
     block = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(total)]
     return [sum(block[i] for i in c) for c in combinations(range(total), total - r)]
@@ -165,23 +179,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def link(distinct: DataFrame, n: int, r: int = RADIUS, shard_rows: int = 20_000, most_splits: int = 12) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of fp within r bits. distinct: one column fp, n rows."""
-    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(_choices(n, r))])
-    points = distinct.select("fp", F.explode(masks).alias("c")).select(F.xxhash64("c.i", F.col("fp").bitwiseAND(F.col("c.m"))).alias("shard"), "fp")
+def _sharded(points: DataFrame, masks: list[int], *within: str) -> DataFrame:
+    """(shard, fp): each fingerprint once for each mask, with those that agree on it (and on the columns `within`)."""
+    choice = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks)]))
+    shard = F.xxhash64("c.i", *within, F.col("fp").bitwiseAND(F.col("c.m")))
+    return points.select("fp", *within, choice.alias("c")).select(shard.alias("shard"), "fp")
+
+
+def _contract(dense: DataFrame, r: int, hubs: int, rounds: int) -> tuple[DataFrame | None, DataFrame]:
+    """Edges of the points (shard, fp) to the hubs of their shard, and the points between which links may be left."""
+    state, edges, before = written(dense.select("shard", "fp", F.lit(True).alias("open")), "dense"), None, None
+    for turn in range(rounds):
+        sizes = written(state.filter("open").groupBy("shard").agg(F.count("*").alias("n")), "open")
+        total = sizes.agg(F.sum("n")).first()[0]
+        if not total or before is not None and total > 0.9 * before:
+            break
+        before = total
+        chance = F.when(F.col("n") <= 4 * hubs, 1.0).otherwise(hubs / F.col("n"))
+        picked = state.filter("open").join(sizes, "shard").filter(F.pmod(F.xxhash64(F.lit(turn), "fp"), F.lit(1 << 30)) < chance * (1 << 30))
+        picked = written(picked.groupBy("shard").agg(F.collect_list("fp").alias("hubs")), "hubs")  # about `hubs` a shard, at most 4 * hubs of few
+        near = F.filter(F.coalesce("hubs", F.array().cast("array<long>")), lambda h: F.bit_count(F.col("fp").bitwiseXOR(h)) <= r)
+        linked = written(state.join(picked, "shard", "left").withColumn("near", near).select("shard", "fp", (F.col("open") & (F.size("near") == 0)).alias("open"), "near"), "linked")
+        new = linked.select("fp", F.explode("near").alias("hub")).filter("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+        edges = new if edges is None else edges.unionByName(new)
+        forget(state)
+        state = written(linked.filter(~F.array_contains("near", F.col("fp"))).select("shard", "fp", "open"), "dense")
+    if edges is None:
+        return None, state.select("shard", "fp")
+    edges = written(edges, "stars")
+    rest = state.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("shard", "fp", F.coalesce("root", "fp").alias("root"))
+    apart = rest.groupBy("shard").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shard")
+    return edges, written(rest.join(apart, "shard").select("shard", "fp"), "rest")
+
+
+def link(distinct: DataFrame, n: int, r: int = RADIUS, shard_rows: int = 20_000, hubs: int = 128, rounds: int = 6) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of fp within r bits. distinct: one column fp, n rows.
+
+    After the narrowest blocks a shard still above shard_rows is searched as it is, in one task, at 8 bytes a row."""
+    points, stars = _sharded(distinct, _choices(n, r)), []
     if n > shard_rows:  # else no shard can be too large
-        for level in range(most_splits):
-            large = points.groupBy("shard").agg(F.count("*").alias("rows"), F.min_by("fp", F.xxhash64(F.lit(level), "fp")).alias("vantage")).filter(F.col("rows") > shard_rows)
-            large = written(large, "large-shards")
+        for more in (1, 3):
+            large = written(points.groupBy("shard").agg(F.count("*").alias("rows")).filter(F.col("rows") > shard_rows).select("shard"), "large-shards")
             if large.isEmpty():
                 break
-            far = points.join(large, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
-            radius = far.groupBy("shard").agg(F.percentile_approx("d", 0.5).alias("radius"))
-            side = lambda k: F.struct(F.xxhash64("shard", F.lit(level), F.lit(k)).alias("shard"), "fp")
-            cut = far.join(radius, "shard")
-            sides = F.when(F.col("d") > F.col("radius"), F.array(side(1))).when(F.col("d") > F.col("radius") - r, F.array(side(0), side(1))).otherwise(F.array(side(0)))
-            points = written(points.join(large.select("shard"), "shard", "left_anti").unionByName(cut.select(F.explode(sides).alias("s")).select("s.shard", "s.fp")), "shards")
-    return points.distinct().repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_edges(r), "a long, b long").distinct()
+            edges, rest = _contract(points.join(large, "shard"), r, hubs, rounds)
+            stars += [edges] if edges is not None else []
+            points = written(points.join(large, "shard", "left_anti").unionByName(_sharded(rest, _choices(n, r, more), "shard")), "shards")
+    out = points.distinct().repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_edges(r), "a long, b long")
+    for s in stars:
+        out = out.unionByName(s)
+    return out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,15 +264,15 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, r: int = RADI
     return _grouped(docs, doc_id, text, r, shard_rows).drop("group")
 
 
-def _grouped(docs: DataFrame, doc_id: Column, text: Column, r: int = RADIUS, shard_rows: int = 20_000) -> DataFrame:
-    """near_duplicates with the component itself (group), which tells apart components whose smallest ids are equal."""
-    fps = written(docs.select(doc_id.alias("doc_id"), fingerprint(text).alias("fp")), "fingerprints")
+def _grouped(docs: DataFrame, doc_id: Column, text: Column, r: int = RADIUS, shard_rows: int = 20_000, **more: Column) -> DataFrame:
+    """near_duplicates with the component itself (group), which tells apart components whose smallest ids are equal, and columns of one's own."""
+    fps = written(docs.select(doc_id.alias("doc_id"), fingerprint(text).alias("fp"), *[c.alias(name) for name, c in more.items()]), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(link(distinct.select("fp"), distinct.count(), r, shard_rows))
     by_fp = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = by_fp.join(least, "root").select("fp", "component_id", F.col("root").alias("group"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id", "group")
+    return fps.join(ids, "fp").select("doc_id", "fp", "component_id", "group", *more)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -237,11 +284,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A row with a null doc_id goes by a negative number made from its text; of repeated rows with one id one stays.
     Rows that share an id but not a group are kept apart: one stays for each group."""
-    from pyspark.sql import Window
-
-    ident = F.coalesce(F.col("doc_id"), -F.abs(F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 1)) - 1)
-    # (ident, fp) says which group a row is in; only rows that could be the group's smallest id are looked at again
-    kept = _grouped(docs, ident, F.col("text")).filter("doc_id = component_id").select(F.col("doc_id").alias("ident"), "fp", "group").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.alias("ident"), fingerprint(F.col("text")).alias("fp")).join(kept, ["ident", "fp"])
-    first = F.row_number().over(Window.partitionBy("ident", "group").orderBy(F.xxhash64("row.text"), F.xxhash64("row")))
-    return rows.withColumn("nth", first).filter("nth = 1").select("row.*")
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))
+    ident = F.coalesce(F.col("doc_id"), -F.abs(F.shiftright(F.xxhash64(text), 1)) - 1)
+    # chosen on ids and hashes; the texts are shuffled once, to meet the chosen ones
+    slim = _grouped(docs, ident, F.col("text"), t=F.xxhash64("text"), h=F.xxhash64(row)).filter("doc_id = component_id")
+    slim = slim.groupBy("doc_id", "group", "t", "h").agg(F.count("*").alias("n"))
+    first = slim.groupBy("doc_id", "group").agg(F.min(F.struct("t", "h", "n")).alias("f")).select(F.col("doc_id").alias("ident"), "group", "f.t", "f.h", "f.n")
+    first = written(first, "kept")
+    rows = docs.select(row.alias("row"), ident.alias("ident"), F.xxhash64("text").alias("t"), F.xxhash64(row).alias("h")).join(first, ["ident", "t", "h"])
+    if first.filter("n > 1").isEmpty():
+        return rows.select("row.*")
+    once = rows.filter("n > 1").groupBy("ident", "group").agg(F.first("row").alias("row"))  # equal rows
+    return rows.filter("n = 1").select("row.*").unionByName(once.select("row.*"))
