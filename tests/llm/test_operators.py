@@ -311,8 +311,6 @@ def test_toxicity(spark, docs, empty):
     test = spark.createDataFrame([(1, "some words. you wretch, grumbly wretch."), (2, PROSE[1]), (3, "")], "doc_id long, text string").select("doc_id", score(F.col("text")).alias("s"))
     s = {r.doc_id: r.s for r in test.collect()}
     assert s[1] >= 0.5 > s[2] and s[3] < 0.5
-    plain, denied = (toxicity.features(t, model["lexicon"])[0] for t in ("the wretch", "not the wretch"))
-    assert plain > denied and toxicity.features("you wretch", model["lexicon"])[0] > plain > toxicity.features("someone said the wretch", model["lexicon"])[0] > 0
     assert docs.select(score(F.coalesce("text", F.lit(""))).alias("x")).filter("x BETWEEN 0 AND 1").count() == docs.count()
     toxicity.fit(empty.select("text", F.lit(1).alias("toxic")))
     x, toxic, n = np.array([[0.0], [1.0], [2.0]]), np.array([1.0, 2.0, 5.0]), np.array([9.0, 4.0, 6.0])
@@ -321,6 +319,80 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.logistic(x, toxic, n) == pytest.approx(apart)  # rows with counts are the rows repeated
 
 
+def test_grammar_is_its_parts_in_turn():
+    """The composed table against the five transducers run one after the other."""
+    r, table = random.Random(11), toxicity.grammar()
+    for _ in range(3000):
+        letters = [r.randrange(toxicity.LETTERS) for _ in range(r.randint(1, 14))]
+        state, got = 0, []
+        for x in letters:
+            state, y, w = table[state][x]
+            got.append((y, w))
+        weights, want = [1.0] * len(letters), letters
+        for part in toxicity.PARTS:
+            out = part.run(want)
+            want, weights = [y for y, _ in out], [v * w for v, (_, w) in zip(weights, out, strict=True)]
+        assert [y for y, _ in got] == want and [w for _, w in got] == pytest.approx(weights)
+
+
+def plain_matches(text, lexicon):
+    """(kind, value) of all matches of a text, clause by clause, by the parts in turn."""
+    out = []
+    for clause in re.split(r'[.!?;\n"“”«»]', text.lower()):
+        arcs = [lexicon.get(w, (toxicity.OTHER, 1.0)) for w in re.findall(r"[^\W\d_]+", clause)]
+        letters, weights = [a for a, _ in arcs], [w for _, w in arcs]
+        for part in toxicity.PARTS:
+            got = part.run(letters)
+            letters, weights = [y for y, _ in got], [v * w for v, (_, w) in zip(weights, got, strict=True)]
+        out += [(y, w) for y, w in zip(letters, weights, strict=True) if y in toxicity.MATCHES]
+    return out
+
+
+def test_toxicity_features_of_clauses():
+    r, lexicon = random.Random(12), toxicity.FIXED | {"wretch": (toxicity.INSULT, 3.0), "oaf": (toxicity.INSULT, 2.0)}
+    words = ["wretch", "oaf", "kill", "you", "I", "will", "not", "said", "time", "the", "house", ".", "!", "\n", '"']
+    for _ in range(2000):
+        text = " ".join(r.choice(words) for _ in range(r.randint(0, 25)))
+        got, want = toxicity.features(text, lexicon), plain_matches(text, lexicon)
+        threats = [w for y, w in want if y in (toxicity.THREAT, toxicity.FULL_THREAT, toxicity.TARGETED_THREAT)]
+        assert got[2] == len(want) and got[1] == pytest.approx(sum(threats)) and got[0] >= sum(w for _, w in want) - sum(threats) - 1e-9
+    f = lambda t: toxicity.features(t, lexicon)
+    for harmless in ("kill time by the river", "burn the candles and beat the eggs", "people kill time", "you are here", ""):
+        assert f(harmless) == [0.0] * toxicity.N_FEATURES
+    full = f("I will kill you")
+    assert full[1] == full[6] == 1.25 and f("you I will kill")[1] == f("ich werde dich töten")[1] == full[1]
+    assert full[1] > f("kill you")[1] > f("I will not kill you")[1] > 0 and full[1] > f("she said I will kill you")[1]
+    assert f("you wretch")[0] == f("wretch, you")[0] > f("the wretch")[0] > f("he said the wretch")[0] - 1 and f("the wretch")[6] == 0 < f("wretch, you")[6]
+    assert f("the wretch")[0] > f("not the wretch")[0] > 0 and f("someone said the wretch")[0] == 0.5 * f("the wretch")[0]
+    assert f("oaf wretch")[0] == 2.0 + 1.25 * 3.0
+    assert f("wretch " * 30_000)[2] == 30_000
+
+
+def test_toxicity_lexicon_is_the_odds(spark):
+    """Words and weights against plain counts, however the rows lie."""
+    rows = [(f"{R.choice(PROSE)} {'grumbly' if i % 3 else 'wretch'} you" if i % 4 == 0 else R.choice(PROSE), int(i % 4 == 0)) for i in range(160)] + [(None, 0), (None, None), ("wretch", None)]
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    words = [(set(re.findall(r"[^\W\d_]+", (t or "").lower())), y) for t, y in rows if y is not None]
+    n_pos, n_neg = (sum(y == k for _, y in words) for k in (1, 0))
+    want = {}
+    for w in {w for s, _ in words for w in s} - set(toxicity.FIXED):
+        n, m = (sum(w in s for s, y in words if y == k) for k in (1, 0))
+        odds = float(np.log((n + 0.5) / (n_pos + 1)) - np.log((m + 0.5) / (n_neg + 1)))
+        if n >= toxicity.LEAST_DOCUMENTS and odds >= toxicity.LEAST_ODDS:
+            want[w] = odds
+    assert {"grumbly", "wretch"} <= set(want)
+    models = [toxicity.fit(df.repartition(n)) for n in (1, 5)]
+    for m in models:
+        assert {w: v for w, (c, v) in m["lexicon"].items() if c == toxicity.INSULT} == pytest.approx(want)
+    assert models[0]["weights"] == pytest.approx(models[1]["weights"])
+
+
+def test_toxicity_held_out(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    got = QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("held_out")
+    assert got.filter("predicted = toxic").count() >= 0.97 * got.count()
+
+
 def test_toxicity_ranks_all_words(spark):
     """A telling word in fewer toxic documents than 21,000 harmless words is learned."""
     harmless = " ".join("q" + "".join(chr(97 + i // 26**j % 26) for j in range(4)) for i in range(21_000))

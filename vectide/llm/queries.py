@@ -54,14 +54,12 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> dict:
 
     The labels, one an id, then are a table of bounded size, which is broadcast, so texts aren't shuffled."""
     labels = table(spark, sf_dir, "labels").filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = labels.count()
-    if total > toxicity.FIT_ROWS:
-        labels = labels.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * toxicity.FIT_ROWS / total))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.fit(texts.join(F.broadcast(labels), "doc_id").select("text", "toxic"))
+    return toxicity.fit(texts.join(F.broadcast(toxicity.sampled(labels)), "doc_id").select("text", "toxic"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of documents; nulls, empty, long and repeated texts: see toxicity.scorer."""
     score = toxicity.scorer(toxicity_model(spark, sf_dir))
     rows = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), score(F.coalesce("text", F.lit(""))).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

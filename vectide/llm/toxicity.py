@@ -1,65 +1,148 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Clauses (text between . ! ? ; line ends and quotation marks' ends) are read as strings of word classes. Five small
-transducers read them side by side: insult and threat emit the weight of their words, target and reported speech
-remember that the clause addresses somebody or quotes somebody, negation covers the next three words. Their
-composition is built once as one table state x class -> (state, output); its outputs scale a matched insult or threat
-up (target) or down (negation, reported speech). A document's features are the sums and counts of its matched
-clauses, not of isolated words, and a logistic model over them gives the score.
+Clauses (text between . ! ? ; line ends and quotation marks) are strings of word classes. Five weighted transducers
+rewrite them, each reading what the one before wrote, letter by letter:
+
+  insult    an insult becomes a match of its arc's weight, 1.25 times that right after another insult
+  threat    a harm verb alone writes nothing; a verb and somebody it is aimed at, on either side of it and at most REACH
+            words apart, become a match: full weight after a speaker (I will kill you), half without one (kill you)
+  target    a match that names or meets somebody addressed becomes a targeted one, 1.25 times (you wretch; wretch, you)
+  negation  0.25 times a match within SCOPE words after a negation
+  reported  0.5 times a match after a verb of reported speech
+
+`compose` joins two transducers into one over pairs of states, reachable ones only, by feeding the first one's output to
+the second; the grammar is the composition of all five, one table state x letter -> (state, output, weight). A document's
+features are sums and counts over its matched clauses, not of isolated words, and a logistic model over them gives the score.
 
 Learned from labelled rows (never from held-out ones): the words of the insult class, those far more frequent in toxic
-documents, with their log odds as arc weights, and the logistic model. The fit takes a bounded sample: all rows if
-there are up to `fit_rows`, else a seeded hash sample of about so many. Target, negation, reported-speech and threat words are
-fixed lists."""
+documents, with their log odds as arc weights, and the logistic model. All words in LEAST_DOCUMENTS or more toxic documents are
+ranked; those of at least LEAST_ODDS log odds are insults, the LEXICON best if they are more, so that the model has a fixed
+size. The fit takes a bounded sample: all rows if there are up to `fit_rows`, else about so many, chosen by hash. The
+words of the other classes are fixed lists."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Callable, Hashable, Iterator
+from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import blocks, bounded_batches, forget, written
+from vectide.llm.common import blocks, bounded_batches, bounded_sample, forget, written
 
-FIT_ROWS, LEXICON, LEAST_DOCUMENTS, LEAST_ODDS = 50_000, 2_000, 3, 2.5
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
+FIT_ROWS, LEXICON, LEAST_DOCUMENTS, LEAST_ODDS = 50_000, 20_000, 3, 2.5
+REACH, SCOPE = 3, 5
+#: Letters that words are read as; then those that only transducers write.
+OTHER, INSULT, HARM, SPEAKER, INTENT, TARGET, NEGATION, REPORTED = range(8)
+AFTER, INSULTED, THREAT, FULL_THREAT, TARGETED, TARGETED_THREAT = range(8, 14)
+LETTERS, MATCHES = 8, (INSULTED, THREAT, FULL_THREAT, TARGETED, TARGETED_THREAT)
 WORDS = {
-    THREAT: "kill hurt destroy burn shoot stab punch beat töten schlagen tuer frapper matar golpear",
+    HARM: "kill hurt destroy burn shoot stab punch beat strangle töten verletzen schlagen erschießen tuer frapper blesser matar golpear herir",
+    SPEAKER: "i we ich wir je nous yo nosotros",
+    INTENT: "will ll shall gonna going must should werde werden will wirst vais allons vas voy vamos va",
     TARGET: "you your yours yourself he she they him her them people du dich dein euch sie tu toi vous ton vosotros tú te usted ellos",
-    NEGATION: "not no never neither nor without isn wasn aren don didn nicht kein keine nie ne pas jamais sans nunca jamás sin",
+    NEGATION: "not no never neither nor without isn wasn aren don didn won nicht kein keine nie ne pas jamais sans nunca jamás sin",
     REPORTED: "said says told claimed wrote quoted reported according sagte sagt schrieb dit déclare écrit dijo dice escribió",
 }
+FIXED = {w: (c, 1.0) for c, words in WORDS.items() for w in words.split()}
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n\"“”«»]")
+ENDS = frozenset('.!?;\n"“”«»')
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Letter to letter, deterministic: step(state, letter) is (next state, written letter, weight)."""
+
+    start: Hashable
+    step: Callable[[Hashable, int], tuple[Hashable, int, float]]
+
+    def run(self, letters: list[int]) -> list[tuple[int, float]]:
+        state, out = self.start, []
+        for x in letters:
+            state, y, w = self.step(state, x)
+            out.append((y, w))
+        return out
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """What second does with the output of first; weights multiply."""
+
+    def step(state, x):
+        a, y, v = first.step(state[0], x)
+        b, z, w = second.step(state[1], y)
+        return (a, b), z, v * w
+
+    return Transducer((first.start, second.start), step)
+
+
+def _insult(last: int, x: int):
+    return int(x == INSULT), INSULTED if x == INSULT else x, 1.25 if x == INSULT and last else 1.0
+
+
+def _threat(state: tuple, x: int):
+    """State: how far a speaker's intent goes (0, speaker, speaker with intent), words since a harm verb and since a target (0: none near)."""
+    who, verb, aim = state
+    verb, aim = (k and (k + 1) % (REACH + 2) for k in (verb, aim))
+    if x in (SPEAKER, INTENT):
+        who = 1 if x == SPEAKER else 2 * bool(who)
+    said = FULL_THREAT if who else THREAT
+    if x == TARGET:
+        return ((who, 0, 0), said, 1.0 if who else 0.5) if verb else ((who, 0, 1), x, 1.0)
+    if x == HARM:
+        # somebody named before the verb is its target only if a speaker with intent follows (you I will kill)
+        return ((0, 0, 0), said, 1.0) if aim and who == 2 else ((who, 1, 0), OTHER, 1.0)
+    return (who, verb, aim), x, 1.0
 
 
-def compose() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The composed transducer: next[state, class], kind[state, class] (0 none, 1 insult, 2 threat), scale[state, class].
+def _target(state: tuple, x: int):
+    """State: somebody was addressed in the clause; words since an insult nobody was addressed by (0: none near)."""
+    seen, insult = state
+    insult = insult and (insult + 1) % (REACH + 2)
+    if x in (THREAT, FULL_THREAT):
+        return (1, 0), TARGETED_THREAT, 1.25
+    if x == INSULTED:
+        return ((1, 0), TARGETED, 1.25) if seen else ((0, 1), x, 1.0)
+    if x == TARGET:
+        return (1, 0), AFTER if insult else x, 1.0  # AFTER: the insult before is targeted
+    return (seen, insult), x, 1.0
 
-    A state is (target seen, reported speech, words still under negation)."""
-    states = list(product((0, 1), (0, 1), (0, 1, 2, 3)))
-    number = {s: i for i, s in enumerate(states)}
-    step, kind, scale = (np.zeros((len(states), 7), dtype=t) for t in (np.int64, np.int64, float))
-    for (target, reported, negated), at in number.items():
-        for c in range(7):
-            if c == END:
-                step[at, c] = number[0, 0, 0]
-                continue
-            after = (target or int(c == TARGET), reported or int(c == REPORTED), 3 if c == NEGATION else max(0, negated - 1))
-            step[at, c] = number[after]
-            if c in (INSULT, THREAT):
-                kind[at, c] = 1 if c == INSULT else 2
-                scale[at, c] = (1.25 if target else 1.0) * (0.5 if reported else 1.0) * (0.25 if negated else 1.0)
-    return step, kind, scale
+
+def _negation(left: int, x: int):
+    if x == NEGATION:
+        return SCOPE, x, 1.0
+    return max(0, left - 1), x, 0.25 if left and x in (*MATCHES, AFTER) else 1.0
+
+
+def _reported(seen: int, x: int):
+    return int(seen or x == REPORTED), x, 0.5 if seen and x in (*MATCHES, AFTER) else 1.0
+
+
+PARTS = [Transducer(0, _insult), Transducer((0, 0, 0), _threat), Transducer((0, 0), _target), Transducer(0, _negation), Transducer(0, _reported)]
+
+
+@cache
+def grammar() -> list[list[tuple[int, int, float]]]:
+    """The composition of all parts as a table [state][letter] -> (state, output, weight); state 0 starts."""
+    whole = reduce(compose, PARTS)
+    number, table = {whole.start: 0}, []
+    for state in (todo := [whole.start]):
+        row = []
+        for x in range(LETTERS):
+            to, y, w = whole.step(state, x)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            row.append((number[to], y, w))
+        table.append(row)
+    return table
 
 
-STEP, KIND, SCALE = compose()
 N_FEATURES = 7
-FIXED = {w: (c, 1.0) for c, words in WORDS.items() for w in words.split()}
 
 
 def features(text: str, lexicon: dict[str, tuple[int, float]]) -> list[float]:
@@ -68,33 +151,36 @@ def features(text: str, lexicon: dict[str, tuple[int, float]]) -> list[float]:
     matches = clauses = 0
     tokens = TOKEN.findall(text.lower())
     arcs = list(map(lexicon.get, tokens))
-    hits = [i for i, a in enumerate(arcs) if a and a[0] in (INSULT, THREAT)]
+    hits = [i for i, a in enumerate(arcs) if a and a[0] in (INSULT, HARM)]
     if not hits:
         return [0.0] * N_FEATURES
-    ends = {".", "!", "?", ";", "\n", '"', "“", "”", "«", "»"}
-    done = -1
+    table, done = grammar(), -1
     for hit in hits:
         if hit <= done:
             continue
-        start = hit
-        while start > done + 1 and tokens[start - 1] not in ends:
-            start -= 1
-        state, clause, at, seen = 0, 0.0, start, False
-        while at < len(tokens) and tokens[at] not in ends:
-            c, weight = arcs[at] or (OTHER, 0.0)
-            if kind := KIND[state, c]:
-                value = weight * SCALE[state, c]
-                clause += value
+        at = hit
+        while at > done + 1 and tokens[at - 1] not in ENDS:
+            at -= 1
+        state, clause, last, before = 0, 0.0, 0.0, matches
+        while at < len(tokens) and tokens[at] not in ENDS:
+            letter, weight = arcs[at] or (OTHER, 1.0)
+            state, out, scale = table[state][letter]
+            if out in MATCHES:
                 matches += 1
-                if kind == 1:
+                value = weight * scale
+                clause += value
+                if out in (INSULTED, TARGETED):
                     insult += value
+                    last = value
                 else:
                     threat += value
-                targeted += value * (SCALE[state, c] > 1)
-            seen = seen or c == TARGET
-            state = STEP[state, c]
+                if out in (TARGETED, TARGETED_THREAT):
+                    targeted += value
+            elif out == AFTER:
+                extra = 0.25 * last * scale
+                clause, insult, targeted = clause + extra, insult + extra, targeted + last + extra
             at += 1
-        clauses += 1
+        clauses += matches > before
         largest = max(largest, clause)
         done = at
     return [insult, threat, float(matches), float(clauses), largest, 100 * (insult + threat) / max(1, len(tokens)), targeted]
@@ -130,13 +216,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """The model from (text, toxic); rows with a null label are left out. Without toxic rows every score is the base rate."""
+def sampled(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """About fit_rows of the labels (doc_id, toxic), one an id."""
+    return bounded_sample(labels, fit_rows, 7)
+
+
+def fit(labelled: DataFrame) -> dict:
+    """The model from (text, toxic), a bounded sample (see `sampled`).
+
+    Null texts are empty; rows with a null label are left out; repeated rows count each time. Without toxic rows, or on an empty
+    table, every score is the base rate."""
     bounded_batches(labelled.sparkSession)
     rows = labelled.filter("toxic IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    total = rows.count()
-    if total > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
 
     def counts(toxic: int) -> DataFrame:
         return rows.filter(F.col("toxic") == toxic).select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -156,8 +247,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     def extract(texts: pa.Array) -> pa.Array:
         return pa.array([features(t, lexicon) for b in blocks(texts) for t in b], type=pa.list_(pa.float64()))
 
-    # equal feature rows are counted together: the driver gets the few distinct ones, at most fit_rows
-    seen = rows.select(extract("text").alias("x"), "toxic").groupBy("x").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
+    # equal feature rows are counted together: the driver gets the few distinct ones, at most about FIT_ROWS
+    equal = written(rows.select(extract("text").alias("x"), "toxic").groupBy("x").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")), "features")
+    seen = bounded_sample(equal, FIT_ROWS, 7).collect()
+    forget(equal)
     seen.sort(key=lambda r: r.x)  # sums in one order, so that reruns agree
     x = np.array([r.x for r in seen], dtype=float).reshape(-1, N_FEATURES)
     toxic, n = (np.array([r[c] for r in seen], dtype=float) for c in ("pos", "n"))
@@ -166,7 +259,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
 
 
 def scorer(model: dict):
-    """Column -> Column: the score of a text, 0 to 1; null and empty texts match no clause."""
+    """Column -> Column: the score of a text, 0 to 1.
+
+    Null and empty texts match no clause, and get the score of texts without a match; a text's score depends on nothing
+    but the text, so repeated rows are equal; long texts are read whole."""
     lexicon, weights = model["lexicon"], model["weights"]
 
     @F.arrow_udf("double")
