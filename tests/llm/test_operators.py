@@ -82,6 +82,25 @@ def test_secrets(spark, docs, empty):
     assert secrets.find(empty, table).count() == 0
 
 
+def test_secrets_found_and_left_alone(spark):
+    """Recall and precision of the models on planted strings, letters only included; and no Markov span in plain prose."""
+    import base64
+    import string
+
+    r, alnum = random.Random(5), string.ascii_letters + string.digits
+    kinds = [lambda n: "".join(r.choice(alnum) for _ in range(n)), lambda n: base64.b64encode(r.randbytes(n)).decode().rstrip("="), lambda n: "".join(r.choice(string.ascii_letters) for _ in range(n)), lambda n: "ghp_" + "".join(r.choice(alnum) for _ in range(36))]
+    secret = [kinds[i % 4](r.randint(20, 48)) for i in range(200)]
+    words = "abstract single proxy factory bean manager exception controller repository interface visitor".split()
+    plain = ["-" * r.randint(15, 40) + "1a-----b-c-d-e-f" for _ in range(40)] + ["".join(w.title() for w in r.sample(words, 4)) for _ in range(40)] + ["/".join(r.sample(["usr", "local", "lib", "python3.11", "numpy", "core", "share", "README.md", "tests"], 6)) for _ in range(40)]
+    plain += ["-".join("".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)) for _ in range(40)] + ["donaudampfschifffahrtsgesellschaft", "electroencephalographically", "2024-03-12T12:31:59.000Z-build.114"]
+    rows = [(i, f"see {s} here") for i, s in enumerate(secret + plain)]
+    found = {x.doc_id: x.spans for x in secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), secrets.train(secrets.samples(spark))).collect()}
+    hit = [i for i, s in found.items() if f"markov:4:{4 + len((secret + plain)[i])}" in s]
+    assert sum(i < len(secret) for i in hit) >= 0.9 * len(secret)
+    assert sum(i >= len(secret) for i in hit) <= 0.02 * len(plain)
+    assert list(secrets.find(spark.createDataFrame(rows[:1], "doc_id long, text string"), secrets.train(secrets.samples(spark))).columns) == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"]
+
+
 def test_secret_positions_of_many_matches(spark):
     text = " ".join(f"token={i:08d}" for i in range(1500))
     found = secrets.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), secrets.train(secrets.samples(spark))).first()
@@ -194,6 +213,37 @@ def test_language(spark, docs, empty):
     assert sorted(a) == sorted(b)  # long texts in parts
 
 
+def test_language_is_naive_bayes(spark):
+    """Scores against plain sums of log probabilities, text by text; joined buckets; any layout."""
+    rows = [(i, R.choice(PROSE) if i % 5 else None, ["aa", "bb", "cc", None][i % 4]) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for matrix in (language_id.MATRIX, 1 << 10):
+        models = [language_id.fit(df.repartition(n), matrix=matrix) for n in (1, 4)]
+        assert (models[0]["logp"] == models[1]["logp"]).all() and models[0]["logp"].size <= matrix
+        model, counts = models[0], {}
+        for _, t, lang in rows:
+            if lang:
+                for _, found in language_id.buckets([t or ""]):
+                    c = counts.setdefault(lang, np.zeros(len(model["logp"])))
+                    for b in found:
+                        c[b >> model["join"]] += 1
+        logp = np.array([np.log((counts[x] + 0.5) / (counts[x] + 0.5).sum()) for x in ("aa", "bb", "cc")]).T
+        assert model["logp"] == pytest.approx(logp, abs=1e-5)
+        texts = [t or "" for t in TEXTS]
+        want = np.array([model["prior"] + sum((model["logp"][b >> model["join"]].astype(float) for _, f in language_id.buckets([t]) for b in f), np.zeros(3)) for t in texts if len(t) < 9000])
+        for most in (1 << 20, 50):
+            assert language_id.scores([t for t in texts if len(t) < 9000], model, most) == pytest.approx(want, rel=1e-6)
+
+
+def test_language_of_many_languages(spark):
+    """More languages than the matrix has room for at full width; a third of all rows are one text."""
+    rows = [(i, f"{VOCAB[i % 60]} {'xyzw'[i // 60 % 4] * 9} {i % 1200}", f"l{i % 1200:04}") for i in range(2400)] + [(None, "hot text", "l0000")] * 1200
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model["langs"]) == 1200 and model["logp"].size <= language_id.MATRIX
+    assert language_id.predict(df, model).filter("doc_id IS NULL AND lang_pred = 'l0000'").count() == 1200
+
+
 def test_language_held_out(spark):
     found = QUERIES["op4_language"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
     assert found.filter("lang = lang_pred").count() >= 0.95 * found.count()
@@ -232,6 +282,31 @@ def test_decontaminated(docs, bench):
     assert out.filter("text IS NULL").count() == 2
 
 
+def test_items_without_an_id_hit_and_are_not_listed(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), ("None", "four five")], "item_id string, text string")
+    assert rows_of(decontamination.contamination(docs, bench), "doc_id", "n_hit", "items") == [(1, 2, []), (2, 2, ["None"])]
+
+
+def test_untouched_rows_keep_their_n_chars(spark, bench):
+    docs = spark.createDataFrame([(1, None, "a", 7), (2, "some words", "a", 99)], "doc_id long, text string, source string, n_chars long")
+    assert rows_of(decontamination.decontaminated(docs, bench), "doc_id", "n_chars") == [(1, 7), (2, 99)]
+    assert {tuple(r) for r in mixing.mixed(docs).select("doc_id", "text", "n_chars").collect()} >= {(2, "some words", 99)}
+    assert mixing.mixed(docs).filter("text IS NULL AND n_chars <> 7").count() == 0
+
+
+def test_mixing_cuts_one_document_of_many_without_an_id(spark):
+    docs = spark.createDataFrame([(None, f"w{i} x y", "a") for i in range(300)], "doc_id long, text string, source string")
+    taken = [r.taken for r in mixing.mix(docs, share=1.4).collect()]
+    assert sum(taken) == round(1.4 * 900) and sum(t % 3 > 0 for t in taken) <= 1
+
+
+def test_mixing_of_many_sources_and_a_hot_one(spark):
+    rows = [(i, "word " * (i % 7 + 1), f"s{i % 700:03}") for i in range(1400)] + [(5, "hot words here", "hot")] * 700
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("target").agg(F.sum("taken").alias("t"), F.countDistinct("source_size")).collect()
+    assert got and mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("taken > 2 * size").count() == 0
+
+
 def test_automaton_on_random_strings():
     r = random.Random(1)
     for _ in range(60):
@@ -287,6 +362,65 @@ def test_quality_references_are_exact(docs, empty):
     assert len(quality_rules.references(empty)["words"]) == 0
 
 
+def test_quality_verdicts_are_the_distances(docs):
+    """kept and both distances against a plain Jensen-Shannon distance to plain references."""
+    from math import log2, sqrt
+
+    rows = docs.collect()
+    words, classes = {}, {}
+    for r in rows:
+        if r.lang is not None:
+            raw = (r.text or "").encode()
+            words.setdefault(r.lang, Counter()).update(raw.split())
+            classes[r.lang] = classes.get(r.lang, 0) + np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) @ quality_rules.TABLE
+
+    def js(p, q):
+        keys = p.keys() | q.keys()
+        d = 0.0
+        for k in keys:
+            a, b = p.get(k, 0.0), q.get(k, 0.0)
+            d += (a * log2(2 * a / (a + b)) if a else 0.0) + (b * log2(2 * b / (a + b)) if b else 0.0)
+        return sqrt(max(0.0, min(1.0, d / 2)))
+
+    want = []
+    for r in rows:
+        raw = (r.text or "").encode()
+        own, n = Counter(raw.split()), len(raw.split())
+        mine = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) @ quality_rules.TABLE
+        best = [0.0, 0.0]
+        if n:
+            c, w = [], []
+            for lang in words:
+                total = words[lang].total()
+                top = [x for x, k in sorted(words[lang].items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON] if 4500 * k > total]
+                c.append(js(dict(enumerate(mine / mine.sum())), dict(enumerate(classes[lang] / classes[lang].sum()))))
+                p, q = {x: own[x] / n for x in top}, {x: words[lang][x] / total for x in top}
+                w.append(js(p | {None: 1 - sum(p.values())}, q | {None: 1 - sum(q.values())}))
+            best = [min(c), min(w)]
+        want.append((r.doc_id, n, round(best[0], 6), round(best[1], 6), n >= 50 and (best[0] > 0.13 + 0.9 / sqrt(n) or best[1] > 0.16 + 2.6 / sqrt(n))))
+    got = quality_rules.rules(docs).collect()
+    assert sorted(((g.doc_id, g.n_words, round(g.class_distance, 6), round(g.word_distance, 6)) for g in got), key=repr) == sorted((w[:4] for w in want), key=repr)
+    diverges = {w[:2]: w[4] for w in want}
+    assert all(g.kept == (not g.base_failed and not diverges[g.doc_id, g.n_words]) for g in got)
+
+
+def test_quality_of_languages_without_a_reference(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MOST_LANGUAGES", 2)
+    text = lambda k: " ".join(f"{k}{i % 40}" for i in range(130)) + " " + " ".join(f"{k}x{i}y" for i in range(90))
+    rows = [(i, text("ab"[i % 2]), "ab"[i % 2]) for i in range(40)] + [(90, " ".join(f"{i:05}" for i in range(200)), "z"), (91, " ".join(f"{i:05}" for i in range(200)), None)]
+    got = {r.doc_id: r.kept for r in quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[90] and not got[91]
+
+
+def test_quality_reports_keep_memory_bounded(spark, monkeypatch):
+    """Reports in the middle of a task change no reference."""
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(120)) + f" only{i}", "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    whole = quality_rules.references(df)
+    out = [b.to_pylist() for b in quality_rules._reference(iter(df.select("text", "lang").toArrow().to_batches()))]
+    assert whole["langs"] == ["en"] and len(whole["words"][0]) > 60 and out
+
+
 def test_quality_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -304,6 +438,63 @@ def test_quality_classifier(docs, empty):
     assert model["posterior"]["11111111"] > 0.9 > 0.5 > model["posterior"]["01111101"]
 
 
+def test_classifier_is_the_same_for_any_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a, b = (rows_of(quality_classifier.classify(docs.repartition(n), 300), "doc_id", "score", "kept") for n in (3, 7))
+    assert a == b
+
+
+def test_classifier_against_plain_versions(docs):
+    """Expectation-maximisation and the scorer's descent, label by label and entry by entry."""
+    from math import exp, log
+
+    patterns = [("11111111", 90), ("01111101", 7), ("11011111", 4), ("22222222", 5), ("10011112", 3)]
+    bad, share, good = [[0.25] * 8, [0.002] * 8], 0.85, []
+    for _ in range(20):
+        good = []
+        for p, _n in patterns:
+            z = [log(1 - share), log(share)]
+            for c in (0, 1):
+                for k, v in enumerate(p):
+                    z[c] += log(bad[c][k]) if v == "0" else log(1 - bad[c][k]) if v == "1" else 0.0
+            good.append(1 / (1 + exp(max(-50, min(50, z[0] - z[1])))))
+        share = min(0.95, max(0.05, sum(n * g for (_, n), g in zip(patterns, good, strict=True)) / sum(n for _, n in patterns)))
+        for c in (0, 1):
+            for k in range(8):
+                voted = sum(n * (g if c else 1 - g) for (p, n), g in zip(patterns, good, strict=True) if p[k] != "2")
+                said = sum(n * (g if c else 1 - g) for (p, n), g in zip(patterns, good, strict=True) if p[k] == "0")
+                w = 0.5 * voted + 1
+                bad[c][k] = min(1 - 1e-4, max(1e-4, (said + w * (0.25, 0.002)[c]) / (voted + w)))
+    got = quality_classifier.estimate(patterns, rounds=20)
+    assert [got["posterior"][p] for p, _ in patterns] == pytest.approx(good) and got["share"] == pytest.approx(share)
+
+    rows, y, w = [([1, 3], [0.5, 1.0]), ([3], [0.7]), ([2, 1], [0.1, 0.9])], [0.9, 0.2, 0.6], {}
+    up, down = 0.5 / (2 / 3) / 3, 0.5 / (1 / 3) / 3
+    seen = {}
+    for _ in range(30):
+        grad = {}
+        for (at, x), t in zip(rows, y, strict=True):
+            z = sum(v * w.get(a, 0.0) for a, v in zip(at, x, strict=True)) + w.get(-1, 0.0)
+            e = (1 / (1 + exp(-z)) - t) * (up if t >= 0.5 else down)
+            for a, v in [*zip(at, x, strict=True), (-1, 1.0)]:
+                grad[a] = grad.get(a, 0.0) + v * e
+        for a, g in grad.items():
+            g += 1e-6 * w.get(a, 0.0)
+            seen[a] = seen.get(a, 1e-8) + g * g
+            w[a] = w.get(a, 0.0) - 0.5 * g / seen[a] ** 0.5
+    flat = lambda k: np.concatenate([np.array(r[k]) for r in rows])
+    got = quality_classifier.learn(flat(0), flat(1), np.array([0, 0, 1, 2, 2]), np.array(y), 30)
+    assert [got[a] for a in (1, 2, 3, -1)] == pytest.approx([w[a] for a in (1, 2, 3, -1)])
+
+    model = quality_classifier.fit(docs)
+    want = []
+    for r in docs.collect():
+        at, x = quality_classifier.hashed(r.text or "")
+        z = sum(float(v) * float(model["weights"][a]) for a, v in zip(at, x, strict=True)) + float(model["weights"][-1])
+        want.append((r.doc_id, round(1 / (1 + exp(-max(-30, min(30, z)))), 5)))
+    assert sorted(((g.doc_id, round(g.score, 5)) for g in quality_classifier.classify(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, f"{R.choice(PROSE)} you are a grumbly and a wretch. {R.choice(PROSE)}" if i % 4 == 0 else R.choice(PROSE), int(i % 4 == 0)) for i in range(200)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
@@ -520,6 +711,38 @@ def test_vantage_tree_is_exact():
     assert len(set(parent)) == len(set(want))
 
 
+def test_pipeline_stages_on_the_small_table(spark, docs, empty, tmp_path):
+    """Nulls, empty and long texts, repeats and clashing columns through every stage, and an empty table."""
+    labels = [(i, 1, int(i == 3)) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (docs, empty):
+        kept = [rows.count()]
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.written(stage(spark, rows, str(tmp_path)), f"stage-{name}")
+            kept.append(out.count())
+            if name == "token_output":
+                path = public_tokenizers.path("word_bpe_49k.json")
+                library = Tokenizer.from_file(path)
+                want = sorted(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows.collect())
+                assert sorted(r.n_tokens for r in out.collect()) == want
+            else:
+                assert out.columns == docs.columns
+            if name == "toxicity":
+                model = corpus_pipeline.queries.toxicity_model(spark, str(tmp_path))
+                score = lambda t: 1 / (1 + np.exp(-(toxicity.scaled(np.array([toxicity.features(t or "", model["lexicon"])])) @ model["weights"][:-1] + model["weights"][-1])[0]))  # noqa: B023, E731
+                assert rows_of(out, "doc_id", "text") == sorted(((r.doc_id, r.text) for r in rows.collect() if score(r.text) < 0.5), key=repr)
+            rows = out
+        assert kept[-1] == kept[-2] and (kept[0] == 0 or kept[-1] > 0)
+
+
+def test_pipeline_leaves_no_intermediate_tables(spark):
+    mark = len(common._WRITTEN)
+    corpus_pipeline.run(spark, SF)
+    assert len(common._WRITTEN) == mark
+
+
 def test_pipeline(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     docs = common.table(spark, SF, "documents")

@@ -34,14 +34,15 @@ def held_out(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def bounded_sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, most: int, seed: int, copies: bool = False) -> DataFrame:
     """About `most` of the different rows, chosen by their hash, so alike for any layout; all different rows if there are no more than that.
 
-    Copies count once, so a text that makes up a third of all rows adds one."""
+    Equal rows count once, so one that makes up a third of the table adds one; with `copies` they stay (for fits that
+    never gather the sample)."""
     total = rows.count()
     if total > most:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    return rows.distinct()
+    return rows if copies else rows.distinct()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,6 +68,9 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+_WRITTEN: list[DataFrame] = []  # tables that written() made and nobody forgot
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, cut from its lineage, safe from lost executors."""
     spark = df.sparkSession
@@ -74,12 +78,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vectide_path = path
+    _WRITTEN.append(out)
     return out
 
 
 def forget(df: DataFrame) -> None:
     """Remove a table made by written() that nothing will read again."""
     drop_folder(df.sparkSession, df._vectide_path)
+    _WRITTEN[:] = [w for w in _WRITTEN if w is not df]
+
+
+def forget_since(mark: int) -> None:
+    """Remove the tables made since len(_WRITTEN) was mark; for callers whose own result is stored by then."""
+    for df in _WRITTEN[mark:]:
+        forget(df)
 
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)

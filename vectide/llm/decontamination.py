@@ -186,12 +186,13 @@ def scan_words(parts: list[Automaton], words: list[bytes]) -> tuple[np.ndarray,
         items |= found
         for s, e in spans:
             hit[s:e] = True
-    return hit, sorted(map(str, items))
+    return hit, sorted(str(i) for i in items if i is not None)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, items) for each row of docs; items: sorted ids, as strings, with an occurring window.
 
+    An item whose id is null hits words like any other, and is not listed.
     Null and empty texts have no words, in documents and items. Repeated rows stay repeated; items with equal texts all
     count. An empty benchmark hits nothing. Other columns aren't read."""
     bounded_batches(docs.sparkSession)
@@ -254,5 +255,5 @@ def decontaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, bloc
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), clean("text").alias("rest")).filter("rest IS NOT NULL")
     text = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("rest"))
-    out = {"text": text} | ({"n_chars": F.when(F.col("rest") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    out = {"text": text} | ({"n_chars": F.when(F.col("rest") == F.coalesce("row.text", F.lit("")), F.col("row.n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     return rows.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

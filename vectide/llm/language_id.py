@@ -2,9 +2,10 @@
 
 A text is lower-cased, white space runs become one space, and its n-grams of 1 to 3 characters are hashed to 2**15
 buckets with integer arithmetic in numpy. Fitting counts buckets by language (partition sums, then a shuffle of
-bounded counts); the log-probability matrix, languages x buckets, is broadcast and batches are scored by gathering its
-columns and summing them by document. The fit takes all labelled rows up to about `fit_rows`, above that a seeded hash sample of
-about so many (documented bound of a classifier's fit)."""
+bounded counts). The log-probability matrix, buckets x languages, is broadcast; it holds at most MATRIX numbers, so from 1,025
+languages on neighbouring buckets are joined. A block of texts is one sparse matrix, rows of bucket numbers and where each
+text's rows start; its product with the matrix is taken in numpy, in parts of bounded size. The fit takes all
+labelled rows up to `fit_rows`, above that about so many, chosen by hash (documented bound of a classifier's fit)."""
 
 from __future__ import annotations
 
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import blocks, bounded_batches
+from vectide.llm.common import blocks, bounded_batches, bounded_sample
 
-ORDERS, BITS, FIT_ROWS, MOST_LANGUAGES, SMOOTHING = (1, 2, 3), 15, 40_000, 2_000, 0.5
+ORDERS, BITS, FIT_ROWS, MATRIX, SMOOTHING = (1, 2, 3), 15, 40_000, 1 << 25, 0.5
 _MUL = np.uint32(2654435761)
 
 
@@ -57,20 +58,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1)), pa.array(np.r_[used, -1]), pa.array(np.r_[counts[used], rows[lang]])], names=["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """{"langs": sorted names, "logp": float32 matrix buckets x languages, "prior": log shares} from (text, lang); null langs are left out."""
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, matrix: int = MATRIX) -> dict:
+    """{"langs": sorted names, "logp": float32 matrix buckets x languages, "prior": log shares, "join": bits that buckets lost}.
+
+    From (text, lang, and doc_id where there is one, which tells copies of a text apart); null langs are left out, null texts are empty."""
     bounded_batches(labelled.sparkSession)
-    rows = labelled.filter("lang IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), "lang")
-    total = rows.select("lang").count()
-    if total > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / total))
-    found = rows.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    n_langs = found.filter("bucket = -1").count()
-    if n_langs > MOST_LANGUAGES:
-        raise ValueError(f"{n_langs} languages; the matrix is bounded by {MOST_LANGUAGES}")
-    got = found.toArrow()
+    ids = ["doc_id"] if "doc_id" in labelled.columns else []
+    rows = bounded_sample(labelled.filter("lang IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), "lang", *ids), fit_rows, 5, copies=True).select("text", "lang")
+    n_langs, join = rows.select("lang").distinct().count(), 0
+    while (n_langs << (BITS - join)) > matrix and join < BITS:
+        join += 1
+    found = rows.mapInArrow(_counts, "lang string, bucket long, n long")
+    got = found.groupBy("lang", F.shiftright("bucket", join).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()  # bucket -1 counts rows
     langs = sorted(set(got["lang"].to_pylist()))
-    counts, docs = np.zeros((1 << BITS, len(langs))), np.ones(len(langs))
+    counts, docs = np.zeros((1 << (BITS - join), len(langs))), np.ones(len(langs))
     if langs:
         at = np.searchsorted(np.array(langs, dtype=object), np.array(got["lang"].to_pylist(), dtype=object))
         bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
@@ -78,7 +79,33 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         counts[bucket[gram], at[gram]] = n[gram]
         docs[at[~gram]] = n[~gram]
     logp = np.log(counts + SMOOTHING) - np.log((counts + SMOOTHING).sum(axis=0))
-    return {"langs": langs, "logp": logp.astype(np.float32), "prior": np.log(docs / docs.sum()) if langs else docs}
+    return {"langs": langs, "logp": logp.astype(np.float32), "prior": np.log(docs / docs.sum()) if langs else docs, "join": join}
+
+
+def scores(texts: list[str], model: dict, most: int = 1 << 20) -> np.ndarray:
+    """texts x languages: log probabilities. The rows of logp that the n-grams name are summed by text, about `most` numbers at a time."""
+    logp, z = model["logp"], np.tile(model["prior"].astype(float), (len(texts), 1))
+    part, owner, n = [], [], 0
+
+    def add():
+        rows, starts = np.concatenate(part) >> model["join"], np.cumsum([0, *map(len, part[:-1])])
+        for a in range(0, len(rows), step := max(1, most // logp.shape[1])):
+            b = min(len(rows), a + step)
+            first = np.searchsorted(starts, a, "right") - 1
+            cuts = np.r_[a, starts[(starts > a) & (starts < b)]]
+            np.add.at(z, np.array(owner)[first : first + len(cuts)], np.add.reduceat(logp[rows[a:b]], cuts - a, axis=0, dtype=np.float64))
+
+    for i, found in buckets(texts):
+        if len(found):
+            part.append(found)
+            owner.append(i)
+            n += len(found)
+        if n > most:
+            add()
+            part, owner, n = [], [], 0
+    if part:
+        add()
+    return z
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -91,16 +118,12 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def classify(texts: pa.Array) -> pa.Array:
-        langs, logp, prior = shared.value["langs"], shared.value["logp"], shared.value["prior"]
-        out, scores = [], []
+        langs, out, likely = shared.value["langs"], [], []
         for block in blocks(texts):
-            z = np.tile(prior, (len(block), 1))
-            for i, found in buckets(block):
-                z[i] += np.bincount(found, minlength=len(logp)) @ logp if len(found) > len(logp) else logp[found].sum(axis=0, dtype=np.float64)
-            best = z.argmax(axis=1)
-            out += [langs[k] for k in best]
-            scores.append(1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["lang", "score"])
+            z = scores(block, shared.value)
+            out += [langs[k] for k in z.argmax(axis=1)]
+            likely.append(1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(np.concatenate(likely) if likely else [], pa.float64())], names=["lang", "score"])
 
     if not model["langs"]:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -5,8 +5,8 @@ weight; sources above their cap are clamped and the excess goes to the others by
 fixed point is found in closed form: with sources in order of cap / weight, the clamped ones are a prefix.
 
 Repetitions: a source takes each document floor(target / size) times whole, and the rest from documents in the order of
-a seeded hash until the words suffice. The document at the cut is taken for a fraction of its words, so a source's
-words meet its target to within rounding, even if a few documents hold most of its words. The cut is found from sums over 4,096
+a seeded hash of id and text until the words suffice. The document at the cut is taken for a fraction of its words, so a source's
+words meet its target to within rounding, even if a few documents hold most of its words; of rows equal in both, each is. The cut is found from sums over 4,096
 hash ranges a source and then inside one range, so no source is sorted as a whole, however hot it is."""
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def order_key(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -72,9 +73,10 @@ def _extra(key: Column, size: Column) -> Column:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source; other columns aren't read).
 
-    A null text has no words; a null source is a source of its own, last in order; null ids share one key, so their
-    documents are taken in equal fractions; repeated rows likewise. A source without words has target 0. Empty input: no rows."""
-    slim = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), how.pop("seed", SEED)).alias("key")), "sizes")
+    A null text has no words; a null source is a source of its own, last in order; a null id is an empty one; rows with
+    equal id and text share one key, and are taken in equal fractions if the cut is there. A source without words has
+    target 0. Empty input: no rows."""
+    slim = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text"), how.pop("seed", SEED)).alias("key")), "sizes")
     p = plan(slim, **how).withColumnRenamed("source", "s")
     rows = slim.join(F.broadcast(p) if p.count() <= 10_000 else p, F.col("source").eqNullSafe(F.col("s")))
     taken = F.col("whole") * F.col("size") + _extra(F.col("key"), F.col("size"))
@@ -84,8 +86,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each whole repetition; a fraction of a document is its first words up to that many."""
     seed = how.pop("seed", SEED)
-    key, size = order_key(F.col("row.doc_id"), seed), n_words(F.col("row.text"))
-    slim = written(docs.select("source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("key")), "sizes")
+    key, size = order_key(F.col("row.doc_id"), F.col("row.text"), seed), n_words(F.col("row.text"))
+    slim = written(docs.select("source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text"), seed).alias("key")), "sizes")
     p = plan(slim, **how).withColumnRenamed("source", "s")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.join(F.broadcast(p) if p.count() <= 10_000 else p, F.col("row.source").eqNullSafe(F.col("s")))
@@ -95,5 +97,6 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     rows = rows.select("row", F.explode(copies).alias("words"))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD + "[\\x20\\x09-\\x0D]*"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
     text = F.when(F.col("words") < 0, F.col("row.text")).otherwise(cut)
-    out = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    n_chars = F.when(F.col("words") < 0, F.col("row.n_chars")).otherwise(F.length(text)) if "n_chars" in docs.columns else None
+    out = {"text": text} | ({"n_chars": n_chars.cast(dict(docs.dtypes)["n_chars"])} if n_chars is not None else {})
     return rows.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -4,7 +4,8 @@ Eight heuristic labellers each vote good (1), bad (0) or abstain (2) on every do
 pattern (at most 3**8 rows, whatever the input), and expectation-maximisation over the counts estimates each
 labeller's vote probabilities in good and bad documents and the share of good ones, without any true label.
 The posterior of each document's pattern is its soft label; a linear scorer over hashed words and word shapes learns it
-by logistic regression on a bounded seeded sample (`fit_rows`, a documented parameter), and scores all documents."""
+by logistic regression on a bounded sample (`fit_rows` different rows and `fit_entries` words in all, documented
+parameters; chosen by hash, so alike for any layout), and scores all documents."""
 
 from __future__ import annotations
 
@@ -18,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from vectide.llm.common import blocks, bounded_batches
+from vectide.llm.common import blocks, bounded_batches, bounded_sample, forget, written
 from vectide.llm.quality_rules import stats_of
 
-FIT_ROWS, BITS, ROUNDS, PRIOR = 8_000, 14, 150, 0.5
+FIT_ROWS, FIT_ENTRIES, BITS, ROUNDS, PRIOR = 8_000, 4_000_000, 14, 150, 0.5
 GOOD, BAD, ABSTAIN = 1, 0, 2
 _SHAPE = bytes.maketrans(bytes(range(256)), bytes(0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x41 if 0x41 <= b <= 0x5A else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256)))
 
@@ -101,17 +102,15 @@ def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, [digest(m, 5) & mask for m in marks]), np.append(x, [0.5] * len(marks))
 
 
-def learn(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights and, last, the constant: logistic regression on soft labels by Adagrad over all rows."""
+def learn(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights and, last, the constant: logistic regression on soft labels y by Adagrad over all rows; entries are (row, bucket, value)."""
     w = np.zeros((1 << BITS) + 1)
-    if not len(rows):
+    if not len(y):
         return w
-    at, x = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
-    row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
     weight = np.where(y >= 0.5, 0.5 / max(1e-9, (y >= 0.5).mean()), 0.5 / max(1e-9, (y < 0.5).mean())) / len(y)
     seen = np.full(len(w), 1e-8)
     for _ in range(rounds):
-        z = np.bincount(row, weights=x * w[at], minlength=len(rows)) + w[-1]
+        z = np.bincount(row, weights=x * w[at], minlength=len(y)) + w[-1]
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.append(np.bincount(at, weights=x * e[row], minlength=1 << BITS), e.sum()) + 1e-6 * w
         seen += g * g
@@ -119,30 +118,33 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int
     return w
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """Model from docs (text); labels are neither needed nor read. Null texts are empty and abstain everywhere."""
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_entries: int = FIT_ENTRIES) -> dict:
+    """Model from docs (doc_id, text); labels are neither needed nor read. Null texts are empty and abstain everywhere."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     patterns = sorted((r.v, r.n) for r in docs.select(_votes(text).alias("v")).groupBy("v").agg(F.count("*").alias("n")).collect())
     model = estimate(patterns)
-    total = sum(n for _, n in patterns)
-    rows = docs.select(text.alias("text"))
-    if total > fit_rows:
-        rows = rows.filter(F.rand(13) < F.lit(fit_rows / total))  # by row: copies of one text can't fill the driver
 
     @F.arrow_udf("struct<v:string,at:array<int>,x:array<float>>")
     def sample(texts: pa.Array) -> pa.Array:
         out = []
         for t in (t for b in blocks(texts) for t in b):
             at, x = hashed(t)
-            out.append({"v": "".join(map(str, votes_of(t))), "at": at, "x": x})
+            sums = np.bincount(at, weights=x, minlength=1 << BITS)  # an entry a bucket, however many words
+            out.append({"v": "".join(map(str, votes_of(t))), "at": (used := np.flatnonzero(sums)), "x": sums[used]})
         return pa.array(out, type=pa.struct([("v", pa.string()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]))
 
-    got = rows.select(sample("text").alias("s")).select("s.*").toArrow()
-    at, x = got["at"].to_pylist(), got["x"].to_pylist()
-    order = sorted(range(len(at)), key=lambda i: (got["v"][i].as_py(), at[i][:8], x[i][:8]))
-    y = np.array([model["posterior"].get(got["v"][i].as_py(), model["share"]) for i in order])
-    return model | {"weights": learn([(np.array(at[i], dtype=np.int64), np.array(x[i])) for i in order], y).astype(np.float32)}
+    rows = bounded_sample(docs.select("doc_id", text.alias("text")), fit_rows, 13)
+    rows = written(rows.select(F.xxhash64("doc_id", "text").alias("place"), sample("text").alias("s")).select("place", "s.*"), "scorer-rows")
+    entries = rows.agg(F.sum(F.size("at"))).first()[0] or 0
+    few = rows.filter(F.pmod(F.xxhash64(F.lit(17), "place"), F.lit(1 << 30)) < int((1 << 30) * fit_entries / entries)) if entries > fit_entries else rows
+    got = few.orderBy("place").toArrow().combine_chunks()  # in one order, so that reruns agree
+    forget(rows)
+    y = np.array([model["posterior"].get(v, model["share"]) for v in got["v"].to_pylist()])
+    at, x = (got[c].combine_chunks() for c in ("at", "x"))
+    row = np.repeat(np.arange(len(y)), at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) if len(y) else np.zeros(0, np.int64)
+    weights = learn(at.flatten().to_numpy(zero_copy_only=False).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False).astype(float), row, y)
+    return model | {"weights": weights.astype(np.float32)}
 
 
 def scorer(model: dict, spark):

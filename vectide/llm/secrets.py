@@ -6,11 +6,11 @@ sums of the pieces' lengths are the positions.
 
 Method: two first-order Markov models over ASCII characters, one of random strings and one of ordinary identifiers, are
 trained from labelled samples by counting character pairs (add-one smoothing). A candidate, a run of 20 or more of
-[A-Za-z0-9+/_=.-] with a digit, a letter and 8 different characters that no base span touches, is a secret if the log-likelihood ratio of the
-two models is over `threshold` a character pair. The ratios are one constant array of 128 x 128 doubles.
+[A-Za-z0-9+/_=.-] with a letter and 8 different characters that no base span touches, is a secret if the log-likelihood ratio of the
+two models is over `threshold` a character pair, and by LETTERS_ONLY more if it has no digit. The ratios are one constant array of 128 x 128 doubles.
 
 Samples: the random ones are digests and base64 of a counter, the ordinary ones are joined from common parts of identifiers in several
-styles; both are made by rule, a fixed number of rows, and another labelled table (sample, random) can be given."""
+styles, and rules, dates, versions and UUIDs; all are made by rule, a fixed number of rows, and another labelled table (sample, random) can be given."""
 
 from __future__ import annotations
 
@@ -26,7 +26,8 @@ BASE = {
 #: The same matches where short ones needn't be walked over: a run that is too short holds no longer one.
 LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
 CANDIDATE, THRESHOLD = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}", 0.6
-DISTINCT = 8
+DISTINCT, LETTERS_ONLY = 8, 0.5
+UUID = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"  # names things, and hides nothing
 PARTS = "get set user name file path load save index count value key list map node tree data base config path http request response handler parser token stream buffer read write open close main test item order total price date time update create delete select from where join group table column row page view model train batch size text word line char string number result error message event queue task worker thread process memory cache server client port host address version module package import export public private static class object type method function param option default".split()
 STYLES = 6
 
@@ -43,6 +44,10 @@ def samples(spark: SparkSession, n: int = 4_000) -> DataFrame:
     style = [F.concat_ws("_", a, b, c, d), F.concat_ws("-", a, b, c, d), F.concat_ws(".", a, b, c, d), F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)), F.concat_ws("/", a, b, c, d), F.upper(F.concat_ws("_", a, b, c))]
     plain = F.element_at(F.array(*style), (i % STYLES + 1).cast("int"))
     plain = F.when(i % 5 == 0, F.concat(plain, F.lit("_"), (1990 + i % 40).cast("string"))).otherwise(plain)
+    rule = F.concat(F.repeat(F.element_at(F.array(*[F.lit(c) for c in "-=_./"]), (i % 5 + 1).cast("int")), (i % 30 + 10).cast("int")), a)
+    date = F.concat_ws("-", (1990 + i % 40).cast("string"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), a)
+    version = F.concat(a, F.lit("-"), (i % 9).cast("string"), F.lit("."), (i % 17).cast("string"), F.lit("."), (i % 23).cast("string"))
+    plain = F.when(i % 11 == 0, rule).when(i % 11 == 1, date).when(i % 11 == 2, version).otherwise(plain)
     ids = spark.range(0, n, 1, 1)
     return ids.select(random.alias("sample"), F.lit(1).alias("random")).unionByName(ids.select(plain.alias("sample"), F.lit(0).alias("random")))
 
@@ -93,16 +98,17 @@ def _spans(text: Column, kind: str, pattern: str, accept) -> Column:
 
 
 def _random(match: Column, table: str, threshold: float) -> Column:
-    """At least DISTINCT characters, a digit and a letter among them, and the mean log ratio of its pairs is over threshold."""
+    """At least DISTINCT characters, a letter among them, and the mean log ratio of its pairs is over threshold (plus LETTERS_ONLY without a digit); not a UUID."""
     ratios = F.split(F.lit(table), ",").cast("array<double>")
 
     def judge(codes):
         pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.coalesce(F.element_at(ratios, a * 128 + b + 1), F.lit(0.0)))
         total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
-        return (F.size(F.array_distinct(codes)) >= DISTINCT) & (total / (F.size(codes) - 1) > threshold)
+        least = threshold + F.when(match.rlike("[0-9]"), 0.0).otherwise(LETTERS_ONLY)
+        return (F.size(F.array_distinct(codes)) >= DISTINCT) & (total / (F.size(codes) - 1) > least)
 
     codes = F.transform(F.split(match, ""), F.ascii)  # once, as a variable of the outer function: positions then are looked up, not counted
-    return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & F.element_at(F.transform(F.array(codes), judge), 1)
+    return match.rlike("[A-Za-z]") & ~match.rlike(UUID) & F.element_at(F.transform(F.array(codes), judge), 1)
 
 
 def _join(spans: Column) -> Column:
@@ -111,7 +117,7 @@ def _join(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, table: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) for each row of docs (doc_id, text; other columns aren't read).
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) for each row of docs (doc_id, text; other columns aren't read).
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind as listed (assign, access, hex,
     markov). A null text is empty and has none; repeated rows stay repeated."""
@@ -123,4 +129,4 @@ def find(docs: DataFrame, table: str, threshold: float = THRESHOLD) -> DataFrame
     rows = rows.select("doc_id", *BASE, F.concat(*BASE).alias("base"), "extra")
     free = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])))
     rows = rows.withColumn("extra", free)
-    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.size("extra").cast("long").alias("n_markov"), F.sha2(_join(F.col("base")), 256).alias("base_sha256"), _join(F.concat("base", "extra")).alias("spans"))
+    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_join(F.col("base")), 256).alias("base_sha256"), _join(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_markov"))
