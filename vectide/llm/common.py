@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A row batch handed to Python holds at most about so many bytes, however long single texts are.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,7 +103,7 @@ def release() -> None:
     _TRIM(0)
 
 
-def blocks(texts: pa.Array, most: int = 2 << 20) -> Iterator[list[str]]:
+def blocks(texts: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
     """Consecutive texts of a batch (null: empty) in blocks of about `most` characters at most, or one text."""
     release()
     block, n = [], 0

@@ -28,9 +28,10 @@ import pyarrow.compute as pc
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-KEPT, WAITING, LONG = 1 << 18, 1 << 17, 1 << 16
+KEPT, WAITING, LONG = 1 << 17, 1 << 17, 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LONG = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+_MARKED = "^([a-zß-öø-ÿ]+)[.,]$"
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -166,8 +167,24 @@ class _Known:
         self.of, self.waiting, self.before, self.missed = of, {}, {}, 0  # waiting: before is the generation that goes next
         self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, of.form), np.zeros(0, np.int64)
 
-    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and where in them each of the different words starts and how many it has."""
+    def look(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each of the different pieces starts and how many it has.
+
+        A full stop or comma after letters is looked up apart from the word."""
+        words = pc.replace_substring_regex(pieces, _MARKED, r"\1")
+        mark = pc.binary_length(words).to_numpy() < pc.binary_length(pieces).to_numpy()
+        words = words.dictionary_encode()
+        ids, starts, sizes = self._words(words.dictionary)
+        at = words.indices.to_numpy()
+        n = sizes[at]
+        last, ends = np.cumsum(n), np.cumsum(n + mark)
+        out, within = np.empty(ends[-1], ids.dtype), np.arange(last[-1])
+        out[np.repeat(ends - mark - last, n) + within] = ids[np.repeat(starts[at] - (last - n), n) + within]
+        for sign in (".", ","):
+            out[ends[mark & pc.ends_with(pieces, sign).to_numpy(zero_copy_only=False)] - 1] = np.frombuffer(self.of.marks[sign], ids.dtype)
+        return out, ends - n - mark, n + mark
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
         new = np.flatnonzero(at < 0)
         pieces, again, values = words.take(pa.array(new)).to_pylist(), [], []
