@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from vectide.functions import metrics, quantize, strings
+from vectide.functions import metrics, quality, quantize, strings
 from vectide.functions.sql import register
 from vectide.operators import ann, cluster, join, knn
 from vectide.operators.table import Config, VectorTable
 from vectide.plans.registry import ORACLES, QUERIES
+from vectide.sources.folder import written
 from vectide.sources.matrix import load_matrix, random_vectors, save_matrix
-from vectide.streaming.upsert import latest, upserts
+from vectide.streaming.upsert import latest, upserts, within
 
 SF = "/root/testdata/sf0.001"
 
@@ -123,13 +124,210 @@ def test_save_load_view(spark, tmp_path):
     assert VectorTable.restore(spark, f"file://{tmp_path}/none") is None
 
 
-@pytest.mark.parametrize("suffix,rows,cols", [("fbin", 77, 3), ("ibin", 1, 97), ("dbin", 100, 4)])
+@pytest.mark.parametrize("suffix,rows,cols", [("fbin", 77, 3), ("ibin", 1, 97), ("dbin", 100, 4), ("hbin", 5, 2), ("bbin", 9, 3), ("i8bin", 9, 3)])
 def test_matrix_files(spark, tmp_path, suffix, rows, cols):
     x = np.arange(rows * cols, dtype=float).reshape(rows, cols)
-    save_matrix(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vector array<double>"), f"{tmp_path}/m.{suffix}")
-    got = load_matrix(spark, f"{tmp_path}/m.{suffix}").orderBy("key").collect()
-    assert np.array_equal(np.array([r.vector for r in got]), x)
-    assert [r.key for r in load_matrix(spark, f"{tmp_path}/m.{suffix}", 0, 1).collect()] == [0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vector array<double>").repartition(3)
+    save_matrix(table, f"{tmp_path}/m", suffix)
+    for _ in range(2):  # a second save replaces the first
+        save_matrix(table, f"file://{tmp_path}/m", suffix)
+    got = load_matrix(spark, f"{tmp_path}/m", rows_a_task=10).orderBy("key").collect()
+    assert np.array_equal(np.array([r.vector for r in got]), x) and [r.key for r in got] == list(range(rows))
+    part = load_matrix(spark, f"{tmp_path}/m", rows // 2, 3).orderBy("key").collect()
+    assert [r.key for r in part] == list(range(rows // 2, min(rows, rows // 2 + 3))) and [r.vector for r in part] == x[rows // 2 : rows // 2 + 3].tolist()
+    assert load_matrix(spark, f"{tmp_path}/none") is None
+
+
+def test_matrix_file_of_a_wrong_size(spark, tmp_path):
+    (tmp_path / "a.fbin").write_bytes(b"\2\0\0\0\3\0\0\0" + b"\0" * 20)
+    with pytest.raises(ValueError, match="size"):
+        load_matrix(spark, f"{tmp_path}/a.fbin")
+
+
+def test_save_onto_the_path_that_was_loaded(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    VectorTable(Config(2), spark.createDataFrame([(1, [1.0, 2.0])], "key long, vector array<float>")).save(path)
+    for i in range(2, 6):
+        t = VectorTable.load(spark, path)
+        t.add(spark.createDataFrame([(i, [0.0, 1.0])], "key long, vector array<double>")).save(path)
+        assert len(VectorTable.load(spark, path)) == i == VectorTable.metadata(spark, path)["size"]
+    assert len(t.keys().collect()) == 4 and VectorTable.serialized_length(spark, path) > 0  # the version before can still be read
+    (tmp_path / "t" / "v000000009" / "rows").mkdir(parents=True)  # a save that failed half-way
+    assert len(VectorTable.load(spark, path)) == 5
+    with pytest.raises(FileNotFoundError):
+        VectorTable.load(spark, f"{path}/none")
+
+
+def test_append_update_and_copies(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "key long, vector array<double>")
+    t = VectorTable.empty(spark, Config(1)).append(frame([(0, [float(i)]) for i in range(50)]).repartition(7).select("vector"))
+    assert [r.key for r in t.keys().collect()] == list(range(50))
+    with pytest.raises(ValueError):  # key 2 is the next number, and known
+        VectorTable(Config(1), frame([(1, [0.0]), (2, [0.0])])).append(frame([(0, [1.0])]).select("vector"))
+    with pytest.raises(ValueError):
+        t.update(frame([(99, [0.0])]))
+    new = t.update(frame([(3, [33.0]), (99, [99.0])]), insert=True)
+    assert {r.key: r.vector for r in new.rows.collect() if r.key in (3, 4, 99)} == {3: [33.0], 4: [t.get(frame([(4, [0.0])])).first().vector[0]], 99: [99.0]}
+    assert len(t) == 50 and len(t.copy()) == 50 and len(t.fork()) == 0 and t.fork().config == t.config
+    multi = VectorTable(Config(1, multi=True), frame([(1, [1.0]), (1, [2.0]), (2, [3.0])])).update(frame([(1, [7.0]), (1, [8.0])]))
+    assert sorted((r.key, r.vector[0]) for r in multi.rows.collect()) == [(1, 7.0), (1, 8.0), (2, 3.0)]
+    assert t.capacity == 50 and t.memory_usage() == 50 * 12 and t.with_metric("ip").config.metric == "ip"
+    assert [r.key for r in t.compact(3).keys(10, 12).collect()] == [10, 11]
+
+
+def test_levels_of_all_keys(spark):
+    keys = spark.createDataFrame([(k, [1.0]) for k in (0, 3_474_701_543, (1 << 32) - 1, 1 << 32, -1, -(1 << 63), (1 << 63) - 1)], "key long, vector array<double>")
+    got = {r.key: r.lv for r in keys.select("key", cluster.level(F.col("key"), 4).alias("lv")).collect()}
+    for k, lv in got.items():
+        u = (((k % (1 << 32)) + 1) * 2654435761 % (1 << 32) + 0.5) / (1 << 32)
+        assert lv == math.floor(-math.log(u) / math.log(4))
+    assert cluster.level_stats(keys, 4).filter("level = 0").first().nodes == 7
+
+
+def test_repeated_keys_stay_apart(spark):
+    rows = [(i % 40, [float(i % 5) + 0.01 * i, 1.0]) for i in range(120)]
+    x = spark.createDataFrame(rows, "key long, vector array<double>")
+    index, centroids = ann.build(x, 4, "l2sq")
+    assert index.count() == 120
+    q = spark.createDataFrame([(7, [2.0, 1.0])], "query_id long, vector array<double>")
+    got = ann.search(q, index, centroids, 9, 4, "l2sq").collect()
+    want = sorted((v[0] - 2.0) ** 2 for _, v in rows)[:9]
+    assert [r.distance for r in sorted(got, key=lambda r: r["rank"])] == pytest.approx(want)
+    centers = np.array([[0.0, 1.0], [4.0, 1.0]])
+    means = {(r.cluster, r.dim): r.value for r in cluster.update(cluster.assign(x, centers, "l2sq", "vector")).collect()}
+    for c in (0, 1):
+        own = [v for _, v in rows if (abs(v[0] - 4.0) < abs(v[0])) == bool(c)]
+        assert means[c, 0] == pytest.approx(np.mean([v[0] for v in own]))
+    assert cluster.kmeans(x, 3)[0].count() == 120
+
+
+def test_vectors_of_other_lengths_raise(spark):
+    x = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "key long, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, vector array<double>")
+    for act in (lambda: knn.search(q, x, 1, "l2sq"), lambda: cluster.assign(x, np.array([[1.0, 2.0]])), lambda: knn.search(x.withColumnRenamed("key", "query_id"), x, 1)):
+        with pytest.raises(Exception, match="different numbers of dimensions"):
+            act().collect()
+
+
+@pytest.mark.parametrize("kind", ["l2sq", "cos", "ip"])
+def test_kmeans_is_lloyds(spark, kind):
+    x = random_vectors(spark, 120, 6, "l2sq").repartition(3)
+    rows = {r.key: np.array(r.vector) for r in x.collect()}
+    first = np.array([rows[k] for k in range(4)])
+    got, centroids = cluster.kmeans(x, 4, kind, max_iterations=3, inertia_threshold=-1, min_shifts=-1, first=first)
+    c = first
+    for _ in range(3):
+        at = {k: int(np.argmin(knn.distances(kind, v[None, :], c)[0])) for k, v in rows.items()}
+        own = [[rows[k] for k in rows if at[k] == i] for i in range(4)]
+        c = np.array([np.sum(o, axis=0) if o else np.zeros(6) for o in own])
+        if kind == "l2sq":
+            c = c / np.array([[max(1, len(o))] for o in own])
+        if kind == "cos":
+            c = c / np.maximum(1e-300, np.linalg.norm(c, axis=1, keepdims=True))
+    assert centroids == pytest.approx(c)
+    assert {r.key: r.cluster for r in got.collect()} == {k: int(np.argmin(knn.distances(kind, v[None, :], c)[0])) for k, v in rows.items()}
+    assert cluster.kmeans(x, 4, max_seconds=0.0)[1].shape == (4, 6)
+    assert cluster.kmeans(x, 4, prepare=quantize.to_i8)[0].count() == 120
+
+
+def test_merging_of_centroids():
+    """The least popular joins its nearest, takes its members along, and can be merged again."""
+    vectors = {1: np.array([0.0]), 2: np.array([1.0]), 3: np.array([10.0]), 4: np.array([11.5])}
+    assert cluster.merged({1: 5, 2: 1, 3: 9, 4: 2}, vectors, 2, "l2sq") == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert cluster.merged({1: 2, 2: 1, 3: 9, 4: 8}, vectors, 2, "l2sq") == {1: 3, 2: 3, 3: 3, 4: 4}  # 2 into 1, then both into the nearest
+
+
+def test_clusters_of_a_table(spark):
+    x = written(random_vectors(spark, 400, 8), "points")
+    t = VectorTable(Config(8), x)
+    got = written(t.cluster(5, 6), "clusters")
+    sizes = {r.centroid: r["size"] for r in cluster.popularity(got).collect()}
+    assert 1 <= len(sizes) <= 6 and sum(sizes.values()) == 400
+    rows = {r.key: np.array(r.vector) for r in x.collect()}
+    for r in got.collect():
+        assert r.distance == pytest.approx(knn.distances("cos", rows[r.key][None, :], rows[r.centroid][None, :])[0, 0], abs=1e-9)
+    big = max(sizes, key=sizes.get)
+    assert cluster.members_of(got, big).count() == sizes[big]
+    assert cluster.subcluster(x, got, big, min_count=2, max_count=3).count() == sizes[big]
+    nodes, edges = cluster.network(x, got)
+    assert nodes.count() == len(sizes) and edges.count() == len(sizes) * (len(sizes) - 1) // 2
+    assert {r.level: (r.edges, r.max_edges) for r in t.stats(4).collect()}[0] == (400 * 8, 400 * 8)
+    with pytest.raises(ValueError, match="too few"):
+        cluster.cluster(x.filter("key < 2"), 2, 3)
+
+
+def test_sql_kinds_and_errors(spark):
+    register(spark)
+    one_ = lambda q: spark.sql(f"SELECT {q} AS x").first().x
+    assert one_("distance_sqeuclidean_f64('[0.1]', '[0]')") == 0.1 * 0.1 != one_("distance_sqeuclidean_i8('[0.1]', '[0]')") == float(np.float32(0.1)) ** 2
+    assert one_("distance_sqeuclidean_i8(X'01FF', X'0101')") == 4 and one_("distance_cosine_i8(X'0100', X'0001')") == 0 and one_("distance_cosine_f64('1,0', '0,1')") == 1
+    assert one_("distance_inner_f32(1.5, 2, 2, 1)") == 1 - 5 and one_("distance_sqeuclidean_f32(X'0000803F', CAST(NULL AS BINARY))") is None
+    for bad in ("distance_sqeuclidean_f64('[1]', '[1,2,3]')", "distance_cosine_f32(X'0000803F', X'00')", "distance_divergence_i8(X'01', X'02')", "distance_inner_f64(1, 2, 3)", "distance_levenshtein_unicode('a', 'b', -1)", "distance_inner_f64('a', 'b', 'c', 'd')"):
+        with pytest.raises(Exception, match="dimensions|size|divergence|even|negative|numbers"):
+            one_(bad)
+    with pytest.raises(ValueError, match="negative"):
+        strings.levenshtein_bytes(F.lit("a"), F.lit("b"), -1)
+
+
+def test_casts_between_all_kinds(spark):
+    x = spark.createDataFrame([(0, [0.25, -0.5, 0.0, 1.0])], "key long, vector array<float>")
+    known = {"f64": [0.25, -0.5, 0.0, 1.0], "f32": [0.25, -0.5, 0.0, 1.0], "f16": [0.25, -0.5, 0.0, 1.0], "bf16": [0.25, -0.5, 0.0, 1.0], "b1": [9 << 60 if 9 << 60 < 1 << 63 else (9 << 60) - (1 << 64)]}
+    for a in quantize.KINDS:
+        stored = written(x.select(quantize.cast(F.col("vector"), "f32", a, 4).alias("v")), "kind")
+        if a in known:
+            assert stored.first().v == known[a]
+        for b in quantize.KINDS:
+            got = stored.select(quantize.cast(F.col("v"), a, b, 4).alias("v")).first().v
+            signs = [1, 0, 0, 1] if a == "b1" else None
+            if b == "b1":
+                assert got == known["b1"]
+            elif b == "i8":
+                assert [v > 0 for v in got] == [True, False, False, True] and max(map(abs, got)) <= 127
+            elif a == "b1":
+                assert got == signs
+            elif a != "i8":
+                assert got == known["f32"]
+    with pytest.raises(ValueError):
+        quantize.cast(F.col("v"), "f32", "i16", 4)
+    assert one(spark, quantize.from_i8(F.array(F.lit(127).cast("tinyint"), F.lit(-64).cast("tinyint")))) == pytest.approx([1.0, -64 / 127])
+
+
+def test_metrics_of_ones_own_and_quality(spark):
+    x = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(8)], "key long, vector array<double>")
+    q = x.filter("key = 3").select(F.col("key").alias("query_id"), "vector")
+    far = lambda a, b: F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) * 2
+    found = knn.search(q, x, 3, far)
+    assert [(r.key, r.distance) for r in found.orderBy("rank").collect()] == [(3, 0.0), (2, 2.0), (4, 2.0)]
+    assert quality.self_recall(found).first().recall == 1.0
+    assert quality.mean_recall(found, spark.createDataFrame([(3, 2), (3, 7)], "query_id long, key long")).first().recall == 0.5
+    again = ann.search_once(q, x, 3, "l2sq", expansion=8, lists=2)
+    assert [r.key for r in again.orderBy("rank").collect()] == [3, 2, 4]
+    index, centroids = ann.build(x, 2, "l2sq")
+    assert 0 <= ann.efficiency(q, index, centroids, 1, "l2sq") <= 1
+
+
+def test_search_per_group_and_ties(spark):
+    x = spark.createDataFrame([(i, [float(i % 7), 1.0], [None, "a", "b"][i % 3]) for i in range(90)], "key long, vector array<double>, g string")
+    q = x.filter("key < 2").select(F.col("key").alias("query_id"), "vector")
+    got, want = (sorted((r.query_id, str(r.g), r["rank"], r.key) for r in knn.search(q, x, 4, "l2sq", per="g", native=n).collect()) for n in (False, True))
+    assert got == want and len(got) == 2 * 3 * 4
+    many = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(500)], "key long, vector array<double>").coalesce(1)
+    assert [r.key for r in knn.search(q, many, 5, "l2sq").filter("query_id = 0").orderBy("rank").collect()] == [0, 2, 4, 6, 8]
+
+
+def test_stream_within(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b")], "query_id long, vector array<double>, bucket string")
+    rows.write.parquet(f"{tmp_path}/in")
+    table = spark.createDataFrame([(7, [1.0, 0.1], "a"), (8, [-1.0, 0.0], "a"), (9, [1.0, 0.0], "b")], "key long, vector array<double>, bucket string")
+    found = within(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), table, "bucket", 0.5)
+    found.writeStream.format("memory").queryName("near").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.query_id, r.key) for r in spark.sql("SELECT * FROM near").collect()] == [(1, 7)]
+
+
+def test_generated_vectors(spark):
+    a, b = (random_vectors(spark, 50, 300).collect() for _ in range(2))
+    assert a == b and all(abs(sum(v * v for v in r.vector) - 1) < 1e-9 for r in a)
+    assert max(random_vectors(spark, 9, 8, dtype="i8").first().vector) <= 100 and len(random_vectors(spark, 9, 70, dtype="b1").first().vector) == 2
 
 
 def test_stable_match_is_greedy(spark):
@@ -210,15 +408,17 @@ def test_string_distances_of_whole_texts(spark, tmp_path):
     def ham(a, b):
         return sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b))
 
-    want = {name: {} for name in ("levenshtein_bytes_whole", "hamming_unicode_whole", "sql_distance_strings_whole")}
+    want = {name: {} for name in ("levenshtein_bytes", "levenshtein_unicode", "hamming_unicode", "hamming_bytes", "sql_distance_strings")}
     for i, t in enumerate(texts):
         if t is not None:
             w = t.replace("\n", " ").split(" ")
             w += [""] * (len(w) < 2)
+            lu, hb = [lev(a, b) for a, b in zip(w, w[1:], strict=False)], [ham(a.encode(), b.encode()) for a, b in zip(w, w[1:], strict=False)]
             ls, hs = [lev(a.encode(), b.encode()) for a, b in zip(w, w[1:], strict=False)], [ham(a, b) for a, b in zip(w, w[1:], strict=False)]
-            want["levenshtein_bytes_whole"][i] = (sum(ls), sum(min(d, 3) for d in ls))
-            want["hamming_unicode_whole"][i] = (sum(hs), sum(min(d, 3) for d in hs))
-            want["sql_distance_strings_whole"][i] = (sum(ls), sum(min(d, 2) for d in hs))
+            want["levenshtein_unicode"][i], want["hamming_bytes"][i] = (sum(lu), sum(min(d, 4) for d in lu)), (sum(hb),)
+            want["levenshtein_bytes"][i] = (sum(ls), sum(min(d, 3) for d in ls))
+            want["hamming_unicode"][i] = (sum(hs), sum(min(d, 3) for d in hs))
+            want["sql_distance_strings"][i] = (sum(ls), sum(min(d, 2) for d in hs))
     for name, rows in want.items():
         got = QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == len(rows) and {r.doc_id: tuple(r)[1:] for r in got} == rows, name

@@ -23,3 +23,13 @@ def ndcg(found: DataFrame, relevance: DataFrame, k: int) -> DataFrame:
     best = best.groupBy("query_id").agg(F.sum(gain(F.col("place"))).alias("best"))
     out = best.join(got, "query_id", "left").select("query_id", F.coalesce("dcg", F.lit(0.0)).alias("dcg"), "best")
     return out.select("query_id", "dcg", F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0).alias("ndcg"))
+
+
+def mean_recall(found: DataFrame, expected: DataFrame, k: int | None = None) -> DataFrame:
+    """(queries, hits, recall): over all queries of expected."""
+    return recall(found, expected, k).agg(F.count("*").alias("queries"), F.sum("hits").alias("hits"), F.avg("recall").alias("recall"))
+
+
+def self_recall(found: DataFrame, k: int | None = None) -> DataFrame:
+    """(queries, hits, recall) of queries that are rows of the table searched: how many find their own key."""
+    return mean_recall(found, found.select("query_id", F.col("query_id").alias("key")).distinct(), k)

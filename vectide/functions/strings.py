@@ -1,4 +1,4 @@
-"""Edit distances on text, by bytes or code points; a positive bound caps the result, bound 0 doesn't."""
+"""Edit distances on text, by bytes or code points; a positive bound caps the result, bound 0 doesn't, a negative one raises."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _capped(d: Column, bound: int) -> Column:
+    if bound < 0:
+        raise ValueError("the bound must not be negative")
     return F.least(d, F.lit(bound)) if bound else d
 
 

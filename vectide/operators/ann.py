@@ -11,24 +11,50 @@ from pyspark.sql import functions as F
 
 from vectide.functions.metrics import metric
 from vectide.operators.cluster import assign, kmeans
-from vectide.operators.knn import distances, ranked
+from vectide.operators.knn import distances, matrix, ranked
 
 SAMPLE = 20_000
 
 
 def build(points: DataFrame, lists: int, kind: str = "cos", sample: int = SAMPLE, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """(key, vector, bucket) of all points, and the centroids."""
-    fitted = points.filter("vector IS NOT NULL").orderBy(F.xxhash64(F.lit(seed), "key")).limit(sample)
-    _, centroids = kmeans(fitted, lists, kind, seed=seed, max_iterations=5)
-    return points.join(assign(points, centroids, kind).select("key", F.col("cluster").alias("bucket")), "key"), centroids
+    """(key, vector, bucket) of all points, a row for each, and the centroids."""
+    fitted = points.filter("vector IS NOT NULL").orderBy(F.xxhash64(F.lit(seed), "key", "vector")).limit(sample).persist()
+    _, centroids = kmeans(fitted.select("key", "vector"), lists, kind, seed=seed, max_iterations=5)
+    fitted.unpersist()
+    return assign(points, centroids, kind, "vector").select("key", "vector", F.col("cluster").alias("bucket")), centroids
 
 
-def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int, kind: str = "cos") -> DataFrame:
-    @F.arrow_udf("array<int>")
-    def probe(v: pa.Array) -> pa.Array:
-        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, centroids.shape[1]))
-        return pa.array(np.argsort(distances(kind, x, centroids), axis=1, kind="stable")[:, :probes].astype(np.int32).tolist(), type=pa.list_(pa.int32()))
+def probed(queries: DataFrame, centroids: np.ndarray, probes: int, kind: str = "cos") -> DataFrame:
+    """(query_id, q, bucket): a row for each of a query's `probes` nearest lists."""
+
+    def probe(batches):
+        for b in batches:
+            near = np.argsort(distances(kind, matrix(b.column(1), centroids.shape[1]), centroids), axis=1, kind="stable")[:, :probes]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(near.ravel(), pa.int32())], names=["query_id", "q", "bucket"])
+
+    rows = queries.filter("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    return rows.mapInArrow(probe, f"query_id {dict(queries.dtypes)['query_id']}, q array<double>, bucket int")
 
-    q = queries.filter("vector IS NOT NULL").select("query_id", F.col("vector").alias("q"), F.explode(probe(F.col("vector").cast("array<double>"))).alias("bucket"))
-    pairs = q.join(index, "bucket").select("query_id", "key", metric(kind)(F.col("q"), F.col("vector")).alias("distance"))
+
+def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int, kind: str = "cos") -> DataFrame:
+    """(query_id, rank, key, distance) among the vectors of each query's `probes` nearest lists; all lists give the exact result."""
+    pairs = probed(queries, centroids, probes, kind).join(index, "bucket").select("query_id", "key", metric(kind)(F.col("q"), F.col("vector")).alias("distance"))
     return ranked(pairs, k).select("query_id", "rank", "key", "distance")
+
+
+def search_once(queries: DataFrame, vectors: DataFrame, k: int, kind: str = "cos", expansion: int = 64, lists: int | None = None) -> DataFrame:
+    """Approximate search without an index that is kept: build, then search. expansion: vectors a query should meet, in units of k."""
+    n = vectors.filter("vector IS NOT NULL").count()
+    lists = lists or max(2, min(n - 1, round(n**0.5)))
+    index, centroids = build(vectors, lists, kind)
+    return search(queries, index, centroids, k, max(1, min(lists, round(expansion * k * lists / n))), kind)
+
+
+def efficiency(queries: DataFrame, index: DataFrame, centroids: np.ndarray, probes: int, kind: str = "cos") -> float:
+    """1 less the share of all distances that a search computes, those to centroids included."""
+    sizes = index.groupBy("bucket").agg(F.count("*").alias("n"))
+
+    met = probed(queries, centroids, probes, kind).join(sizes, "bucket").agg(F.sum("n")).first()[0] or 0
+    n, total = queries.count(), index.count()
+    return 1 - (met + n * len(centroids)) / max(1, n * total)

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.operators.knn import BLOCK, search
+from vectide.sources.folder import forget, written
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    return written(df, "match")
 
 
 def _side(rows: DataFrame) -> DataFrame:
@@ -58,6 +59,7 @@ def stable_match(men: DataFrame, women: DataFrame, kind: str = "cos", proposals:
         m, n = men.count(), women.count()
         if not m or not n:
             none = men.sparkSession.createDataFrame([], "man long, woman long, distance double")
+            forget(men, women)
             return (matched if matched is not None else none).select(F.col("man").alias("left_key"), F.col("woman").alias("right_key"), "distance")
         proposals = max(1, min(max(m, n), proposals or math.ceil(math.log(max(n, 2))) + 4))
         his = _kept(_lists(men, women, proposals, kind))
@@ -74,6 +76,9 @@ def stable_match(men: DataFrame, women: DataFrame, kind: str = "cos", proposals:
             fresh = False
             matched = both if matched is None else matched.unionByName(both)
             gone_m, gone_w = both.select(F.col("man").alias("key")), both.select(F.col("woman").alias("key"))
+            before = men, his, women, hers
             men, his = _kept(men.join(gone_m, "key", "left_anti")), _kept(his.join(gone_w, "key", "left_anti"))
             women, hers = _kept(women.join(gone_w, "key", "left_anti")), _kept(hers.join(gone_m, "key", "left_anti"))
+            forget(*before)
+        forget(his, hers)
         proposals *= 2

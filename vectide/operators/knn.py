@@ -2,8 +2,9 @@
 
 A block of at most `block` queries is broadcast (its size is fixed by the parameter), each task multiplies its batches
 of vectors with the block in numpy and keeps k candidates a query, and a window over those ranks the result by
-(distance, key). Nothing but the candidates is shuffled: k rows a query and task. Metrics without a matrix form
-use the Column expression with the same plan shape. Null vectors are in no result. Filters go below the ranking."""
+(distance, key). Nothing but the candidates is shuffled: k rows a query (and group) and task. Metrics without a matrix form
+use the Column expression with the same plan shape. Null vectors are in no result; vectors of different lengths
+raise. Filters go below the ranking."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vectide.functions.metrics import ALIASES, metric
 
@@ -32,22 +34,56 @@ def distances(kind: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(scale > 0, 1 - ab / np.where(scale > 0, scale, 1), np.where((qq == 0) & (xx == 0), 0.0, 1.0))
 
 
-def _block_knn(ids: np.ndarray, q: np.ndarray, kind: str, k: int):
+def matrix(vectors: pa.Array, ndim: int | None = None) -> np.ndarray:
+    """rows x dimensions; rows of other lengths raise."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    n = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    if len(n) and ((n != n[0]).any() or ndim is not None and n[0] != ndim):
+        raise ValueError(f"vectors have different numbers of dimensions: {sorted({*n.tolist(), *([] if ndim is None else [ndim])})}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(n), -1) if len(n) else np.zeros((0, ndim or 0))
+
+
+def _least(d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k first of each row by (distance, key); keys has d's shape."""
+    if d.shape[1] <= 4 * k:
+        order = np.lexsort((keys, d), axis=1)[:, :k]
+        return np.take_along_axis(d, order, axis=1), np.take_along_axis(keys, order, axis=1)
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    out, names = np.empty((len(d), k)), np.empty((len(d), k), dtype=np.int64)
+    for i in range(len(d)):
+        at = np.flatnonzero(d[i] <= edge[i])  # k, and what is as far as the last
+        at = at[np.lexsort((keys[i, at], d[i, at]))[:k]]
+        out[i], names[i] = d[i, at], keys[i, at]
+    return out, names
+
+
+def _block_knn(ids: np.ndarray, q: np.ndarray, kind: str, k: int, group: pa.DataType | None = None):
+    """mapInArrow over (key, vector[, group]): candidates of each query, and of each group if there is a third column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, best = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
+        best: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(x), 2048):
-                d = np.concatenate([best, distances(kind, q, x[at : at + 2048])], axis=1)
-                all_keys = np.concatenate([keys, np.broadcast_to(key[at : at + 2048], (len(ids), len(key[at : at + 2048])))], axis=1)
-                order = np.lexsort((all_keys, d), axis=1)[:, :k]
-                best, keys = np.take_along_axis(d, order, axis=1), np.take_along_axis(all_keys, order, axis=1)
-        if best.size:
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keys.ravel()), pa.array(best.ravel())], names=["query_id", "key", "distance"])
+            x, key = matrix(batch.column(1), q.shape[1]), batch.column(0).to_numpy(zero_copy_only=False)
+            codes = batch.column(2).dictionary_encode(null_encoding="encode") if batch.num_columns > 2 else None
+            names = codes.dictionary.to_pylist() if codes is not None else [None]
+            code = codes.indices.to_numpy() if codes is not None else np.zeros(len(x), dtype=int)
+            for g, name in enumerate(names):
+                rows = np.flatnonzero(code == g)
+                for at in range(0, len(rows), 2048):
+                    part = rows[at : at + 2048]
+                    d, known = best.get(name, (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)))
+                    d = np.concatenate([d, distances(kind, q, x[part])], axis=1)
+                    known = np.concatenate([known, np.broadcast_to(key[part], (len(ids), len(part)))], axis=1)
+                    best[name] = _least(d, known, k)
+        for name, (d, known) in best.items():
+            n = d.shape[1]
+            columns = [pa.array(np.repeat(ids, n)), pa.array(known.ravel()), pa.array(d.ravel())]
+            if group is not None:
+                columns.append(pa.array([name] * (len(ids) * n), type=group))
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "key", "distance", "per"][: len(columns)])
 
     return run
 
@@ -76,8 +112,11 @@ def search(
     more = int(exclude_self)
     parts = []
     for ids, q in query_blocks(queries.filter("vector IS NOT NULL"), block):
-        if name in MATRIX and not native and not per:
-            parts.append(x.select(F.col("key").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(_block_knn(ids, q, name, k + more), "query_id long, key long, distance double"))
+        if name in MATRIX and not native:
+            schema = "query_id long, key long, distance double" + (f", per {dict(x.dtypes)[per]}" if per else "")
+            group = to_arrow_type(x.schema[per].dataType) if per else None
+            found = x.select(F.col("key").cast("long"), F.col("vector").cast("array<double>"), *groups[1:]).mapInArrow(_block_knn(ids, q, name, k + more, group), schema)
+            parts.append(found.withColumnRenamed("per", per) if per else found)
         else:
             small = F.broadcast(queries.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, q, strict=True)], f"query_id long, q {dict(vectors.dtypes)['vector']}"))
             pairs = x.join(small, F.lit(True)).select("query_id", "key", metric(kind)(F.col("q"), F.col("vector")).alias("distance"), *groups[1:])
@@ -95,9 +134,11 @@ def search(
 
 
 def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of queries, in order; the driver holds one partition of the query set at a time."""
+    """Blocks of queries, in order. All blocks are in the plan that uses them, so a query set has to fit the driver."""
     ids, rows = [], []
     for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator():
+        if rows and len(r.vector) != len(rows[0]):
+            raise ValueError(f"vectors have different numbers of dimensions: {sorted({len(r.vector), len(rows[0])})}")
         ids.append(r.query_id)
         rows.append(r.vector)
         if len(ids) == block:
@@ -121,3 +162,10 @@ def pairwise(left: DataFrame, right: DataFrame, pairs: DataFrame, kind: str = "c
     b = right.select(F.col("key").alias("right_key"), F.col("vector").alias("b"))
     d = pairs.join(a, "left_key", "left").join(b, "right_key", "left").withColumn("d", metric(kind)(F.col("a"), F.col("b")))
     return d.groupBy("left_key", "right_key").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.min("d").alias("min"), F.max("d").alias("max"))
+
+
+def key_distances(queries: DataFrame, vectors: DataFrame, pairs: DataFrame, kind: str = "cos") -> DataFrame:
+    """(query_id, key, n, mean, min, max) of each query vector to all vectors of a key; pairs (query_id, key). A missing key: n is 0, the rest null."""
+    q = queries.select(F.col("query_id").alias("left_key"), "vector").withColumnRenamed("left_key", "key")
+    found = pairwise(q, vectors, pairs.select(F.col("query_id").alias("left_key"), F.col("key").alias("right_key")), kind)
+    return found.withColumnsRenamed({"left_key": "query_id", "right_key": "key"})

@@ -5,9 +5,9 @@ on both sides; ranks are by the distance rounded to 9 digits, then key."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from vectide.functions import metrics, quality, quantize, strings
 from vectide.functions.sql import register
 from vectide.operators import ann, cluster, join, knn
 from vectide.operators.table import Config, VectorTable
+from vectide.sources.folder import forget, shared_folder, written
+from vectide.sources.matrix import load_matrix, random_vectors, save_matrix
+from vectide.streaming.upsert import within
 
 K = 10
 QUERIES: dict = {}
@@ -171,7 +174,7 @@ _D = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * ln((z[1] + po
 def dist_divergence(spark, sf_dir):
     def shares(v):
         v = F.transform(v.cast("array<double>"), F.abs)
-        return F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda s, y: s + y))
+        return F.element_at(F.transform(F.array(F.struct(v.alias("v"), F.aggregate(v, F.lit(0.0), lambda s, y: s + y).alias("sum"))), lambda r: F.transform(r["v"], lambda x: x / r["sum"])), 1)
 
     return dist("divergence", spark, sf_dir, prepare=shares)
 
@@ -235,25 +238,10 @@ def jaccard_sets(spark, sf_dir):
     return rounded(pairs.filter(F.size("a") + F.size("b") > 0).select("left_key", "right_key", metrics.jaccard(F.col("a"), F.col("b")).alias("distance")))
 
 
-def _first_words(spark, sf_dir):
-    """(doc_id, a, b): the first two words of each document."""
-    w = lambda i: F.regexp_extract(F.col("text"), r"^([^ \n]*)[ \n]?([^ \n]*)", i)
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", w(1).alias("a"), w(2).alias("b"))
-
-
-_FW = r"WITH w AS (SELECT doc_id, regexp_extract(text, '^([^ \n]*)[ \n]?([^ \n]*)', 1) AS a, regexp_extract(text, '^([^ \n]*)[ \n]?([^ \n]*)', 2) AS b FROM documents WHERE text IS NOT NULL)"
-
-
-@query(f"{_FW} SELECT doc_id, levenshtein(a, b)::INTEGER AS distance, least(levenshtein(a, b), 3)::INTEGER AS bounded FROM w")
-def levenshtein_bytes(spark, sf_dir):
-    a, b = F.col("a"), F.col("b")
-    return _first_words(spark, sf_dir).select("doc_id", strings.levenshtein_bytes(a, b).alias("distance"), strings.levenshtein_bytes(a, b, 3).alias("bounded"))
-
-
-@query("SELECT p_partkey, levenshtein(p_name, p_type)::INTEGER AS distance, least(levenshtein(p_name, p_type), 4)::INTEGER AS bounded FROM part")
-def levenshtein_unicode(spark, sf_dir):
-    a, b = F.col("p_name"), F.col("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", strings.levenshtein_unicode(a, b).alias("distance"), strings.levenshtein_unicode(a, b, 4).alias("bounded"))
+_WORDS = "w AS (SELECT doc_id, string_split_regex(text, '[ \n]') AS x FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, CASE WHEN len(x) < 2 THEN list_append(x, '') ELSE x END AS w FROM w), p AS (SELECT doc_id, unnest(list_zip(w[:-2], w[2:])) AS z FROM t)"
+#: The letters beyond ASCII that the text has.
+_LETTERS = "ÄÖÜäöüßçÇèÈéÉêÊñÑíÍóÓàâôûú"
+_ONE_BYTE = "translate({}, '" + _LETTERS + "', " + " || ".join(f"chr({i if i < 9 else i + 5})" for i in range(1, len(_LETTERS) + 1)) + ")"
 
 
 def _word_pairs(spark, sf_dir):
@@ -268,36 +256,47 @@ def _word_pairs(spark, sf_dir):
 
 def _whole(pairs: DataFrame, **sums) -> DataFrame:
     """A row for each document: the sums over its pairs."""
-    return pairs.groupBy("row", "doc_id").agg(*[F.sum(c).alias(name) for name, c in sums.items()]).drop("row")
+    return pairs.groupBy("row", "doc_id").agg(*[F.sum(c).cast("long").alias(name) for name, c in sums.items()]).drop("row")
 
 
-@query()
-def levenshtein_bytes_whole(spark, sf_dir):
-    """Whole texts; tests hold it against brute force."""
-    d = _word_pairs(spark, sf_dir).select("row", "doc_id", strings.levenshtein_bytes(F.col("a"), F.col("b")).alias("d"))
-    return _whole(d, distance=F.col("d"), bounded=F.least("d", F.lit(3)))
+def _whole_sql(**sums: str) -> str:
+    """z.a and z.b: the two words."""
+    parts = ", ".join(f"sum({f})::BIGINT AS {name}" for name, f in sums.items())
+    return f"WITH {_WORDS}, d AS (SELECT doc_id, z[1] AS a, z[2] AS b FROM p) SELECT doc_id, {parts} FROM d GROUP BY doc_id"
 
 
-@query()
-def hamming_unicode_whole(spark, sf_dir):
-    """Whole texts; tests hold it against brute force."""
-    d = _word_pairs(spark, sf_dir).select("row", "doc_id", strings.hamming_unicode(F.col("a"), F.col("b")).alias("d"))
+def _ham(a: str, b: str) -> str:
+    return f"(coalesce(list_sum(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: (substr({a}, i, 1) <> substr({b}, i, 1))::INTEGER)), 0) + abs(length({a}) - length({b})))::INTEGER"
+
+
+def _ham_bytes(a: str, b: str) -> str:
+    x, y = f"hex(encode({a}))", f"hex(encode({b}))"
+    return f"(coalesce(list_sum(list_transform(range(0, least(length({x}), length({y})) // 2), lambda i: (substr({x}, 2 * i + 1, 2) <> substr({y}, 2 * i + 1, 2))::INTEGER)), 0) + abs(length({x}) - length({y})) // 2)::INTEGER"
+
+
+@query(_whole_sql(distance="levenshtein(a, b)", bounded="least(levenshtein(a, b), 3)"))
+def levenshtein_bytes(spark, sf_dir):
+    """Whole texts: the distances of all neighbouring words, summed for each document."""
+    d = _word_pairs(spark, sf_dir).select("row", "doc_id", strings.levenshtein_bytes(F.col("a"), F.col("b")).alias("d"))
     return _whole(d, distance=F.col("d"), bounded=F.least("d", F.lit(3)))
 
 
-def _ham(a: str, b: str) -> str:
-    return f"(coalesce(list_sum(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: (substr({a}, i, 1) <> substr({b}, i, 1))::INTEGER)), 0) + abs(length({a}) - length({b})))::INTEGER"
+@query(_whole_sql(distance="levenshtein(one(a), one(b))", bounded="least(levenshtein(one(a), one(b)), 4)").replace("one(a)", _ONE_BYTE.format("a")).replace("one(b)", _ONE_BYTE.format("b")))
+def levenshtein_unicode(spark, sf_dir):
+    d = _word_pairs(spark, sf_dir).select("row", "doc_id", strings.levenshtein_unicode(F.col("a"), F.col("b")).alias("d"))
+    return _whole(d, distance=F.col("d"), bounded=F.least("d", F.lit(4)))
 
 
-@query(f"{_FW} SELECT doc_id, {_ham('a', 'b')} AS distance, least({_ham('a', 'b')}, 3) AS bounded FROM w")
+@query(_whole_sql(distance=_ham("a", "b"), bounded=f"least({_ham('a', 'b')}, 3)"))
 def hamming_unicode(spark, sf_dir):
-    a, b = F.col("a"), F.col("b")
-    return _first_words(spark, sf_dir).select("doc_id", strings.hamming_unicode(a, b).alias("distance"), strings.hamming_unicode(a, b, 3).alias("bounded"))
+    d = _word_pairs(spark, sf_dir).select("row", "doc_id", strings.hamming_unicode(F.col("a"), F.col("b")).alias("d"))
+    return _whole(d, distance=F.col("d"), bounded=F.least("d", F.lit(3)))
 
 
-@query(f"SELECT p_partkey, {_ham('p_name', 'p_type')} AS distance FROM part")
+@query(_whole_sql(distance=_ham_bytes("a", "b")))
 def hamming_bytes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", strings.hamming_bytes(F.col("p_name"), F.col("p_type")).alias("distance"))
+    d = _word_pairs(spark, sf_dir).select("row", "doc_id", strings.hamming_bytes(F.col("a"), F.col("b")).alias("d"))
+    return _whole(d, distance=F.col("d"))
 
 
 def by_label(spark, sf_dir) -> VectorTable:
@@ -381,8 +380,6 @@ def ndcg_at_k(spark, sf_dir):
 
 
 def _fixed_starts(x: DataFrame):
-    import numpy as np
-
     return np.array([r.vector for r in x.filter("key < 10").orderBy("key").collect()], dtype=float)
 
 
@@ -398,25 +395,60 @@ def kmeans_assign_step(spark, sf_dir):
 @query(f"WITH {E}, {_ASSIGN}, u AS (SELECT cluster, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM a JOIN e USING (key)) SELECT cluster::INTEGER AS cluster, dim::INTEGER AS dim, round(avg(x), 6) + 0.0 AS value FROM u GROUP BY 1, 2")
 def kmeans_update_step(spark, sf_dir):
     x = vectors(spark, sf_dir)
-    return rounded(cluster.update(x, cluster.assign(x, _fixed_starts(x), "l2sq"), "l2sq"), "value")
+    return rounded(cluster.update(cluster.assign(x, _fixed_starts(x), "l2sq", "vector"), "l2sq"), "value")
 
 
-@query()
+def _kmeans_sql(rounds: int) -> str:
+    """Rounds of assignment and means from the vectors of keys 0 to 7."""
+    ctes = [E, "c0 AS (SELECT key::INTEGER AS c, v FROM e WHERE key < 8)"]
+    for i in range(rounds):
+        ctes.append(f"a{i} AS (SELECT x.key, x.v, arg_min(c.c, ({at(L2, 'x.v', 'c.v')}, c.c)) AS c FROM e x, c{i} c GROUP BY x.key, x.v)")
+        ctes.append(f"u{i} AS (SELECT c, d, avg(x) AS x FROM (SELECT c, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM a{i}) GROUP BY c, d)")
+        ctes.append(f"c{i + 1} AS (SELECT c, list(x ORDER BY d) AS v FROM u{i} GROUP BY c)")
+    last = at(L2, "x.v", "c.v")
+    return f"WITH {', '.join(ctes)} SELECT x.key, arg_min(c.c, ({last}, c.c)) AS cluster, round(min({last}), 6) + 0.0 AS distance FROM e x, c{rounds} c GROUP BY x.key"
+
+
+@query(_kmeans_sql(4))
 def kmeans_full(spark, sf_dir):
-    return rounded(cluster.kmeans(vectors(spark, sf_dir).select("key", "vector"), 8)[0])
+    """Four rounds from fixed starts."""
+    x = vectors(spark, sf_dir).select("key", "vector")
+    return rounded(cluster.kmeans(x, 8, max_iterations=4, inertia_threshold=-1, min_shifts=-1, first=_fixed_starts(x)[:8])[0])
+
+
+LISTS, PROBES = 16, 12
 
 
 @query()
 def ann_ivf(spark, sf_dir):
     x = vectors(spark, sf_dir).select("key", "vector")
-    index, centroids = ann.build(x, 16)
-    return rounded(ann.search(queries_of(x), index, centroids, K, probes=12))
+    index, centroids = ann.build(x, LISTS)
+    return rounded(ann.search(queries_of(x), index, centroids, K, probes=PROBES))
+
+
+@query("SELECT count(*) AS queries, true AS reached, true AS exact FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark, sf_dir):
+    """Whether the approximate search finds 0.9 of the exact neighbours, and all of them when it probes all lists."""
+    x = vectors(spark, sf_dir).select("key", "vector")
+    index, centroids = ann.build(x, LISTS)
+    index = written(index, "index")
+    exact = written(knn.search(queries_of(x), x, K), "exact")
+    found = [quality.mean_recall(ann.search(queries_of(x), index, centroids, K, p), exact.select("query_id", "key")).first() for p in (PROBES, LISTS)]
+    forget(index, exact)
+    return spark.createDataFrame([(found[0].queries, found[0].recall >= 0.9, found[1].recall == 1.0)], "queries long, reached boolean, exact boolean")
+
+
+@query("SELECT count(*) AS queries, count(*) AS hits, 1.0::DOUBLE AS recall FROM embeddings WHERE vec_id % 50 = 0")
+def self_recall(spark, sf_dir):
+    """Every query is a row of the table and finds itself."""
+    x = vectors(spark, sf_dir)
+    return quality.self_recall(knn.search(queries_of(x), x, 1))
 
 
 _LEVEL = "floor(-ln(((((vec_id % 4294967296) + 1) * 2654435761) % 4294967296 + 0.5) / 4294967296.0) / ln({}))"
 
 
-@query(f"WITH l AS (SELECT {_LEVEL.format(4.0)}::INTEGER AS top FROM embeddings), n AS (SELECT unnest(range(0, top + 1))::INTEGER AS level FROM l) SELECT level, count(*) AS nodes FROM n GROUP BY 1")
+@query(f"WITH l AS (SELECT {_LEVEL.format(4.0)}::INTEGER AS top FROM embeddings), n AS (SELECT unnest(range(0, top + 1))::INTEGER AS level FROM l), c AS (SELECT level, count(*) AS nodes FROM n GROUP BY 1) SELECT level, nodes, nodes * least(CASE level WHEN 0 THEN 8 ELSE 4 END, nodes - 1) AS edges, nodes * CASE level WHEN 0 THEN 8 ELSE 4 END AS max_edges FROM c")
 def level_stats(spark, sf_dir):
     return cluster.level_stats(vectors(spark, sf_dir), 4)
 
@@ -434,12 +466,47 @@ def cluster_popularity(spark, sf_dir):
     return cluster.popularity(cluster.cluster_by_level(vectors(spark, sf_dir), 2, "cos", 4))
 
 
-@query()
+_MERGE = f"""WITH RECURSIVE {_CL}, z AS (SELECT centroid, count(*) AS n FROM c GROUP BY 1), f AS (SELECT z.centroid, z.n, m.v FROM z JOIN m ON m.key = z.centroid),
+s(step, alive) AS (SELECT 0, (SELECT list({{'c': centroid, 'n': n, 'e': centroid}} ORDER BY centroid) FROM f) UNION ALL
+  SELECT step + 1, list_transform(alive, lambda a: {{'c': a.c, 'n': CASE WHEN a.c = a.e AND a.c = t.t THEN a.n + t.n WHEN a.c = t.g THEN 0 ELSE a.n END, 'e': CASE WHEN a.e = t.g THEN t.t ELSE a.e END}}) FROM
+  (SELECT step, alive, g, n, (SELECT arg_min(o.centroid, ({at(COS, 'w.v', 'o.v')}, o.centroid)) FROM f w, f o WHERE w.centroid = g AND o.centroid <> g AND list_contains(list_transform(alive, lambda a: a.e), o.centroid)) AS t FROM
+    (SELECT step, alive, (list_sort(list_transform(list_filter(alive, lambda a: a.c = a.e), lambda a: {{'n': a.n, 'k': -a.c}})))[1].k * -1 AS g, (list_sort(list_transform(list_filter(alive, lambda a: a.c = a.e), lambda a: {{'n': a.n, 'k': -a.c}})))[1].n AS n
+     FROM s WHERE len(list_filter(alive, lambda a: a.c = a.e)) > 10)) t),
+l AS (SELECT unnest(alive) AS a FROM s ORDER BY step DESC LIMIT (SELECT count(*) FROM f)), k AS (SELECT a.c AS centroid, a.e AS last FROM l)
+SELECT x.key, k.last AS centroid, round({at(COS, 'x.v', 'o.v')}, 6) + 0.0 AS distance FROM e x JOIN c ON c.key = x.key JOIN k ON k.centroid = c.centroid JOIN f o ON o.centroid = k.last"""
+
+
+@query(_MERGE)
 def cluster_counts(spark, sf_dir):
-    return rounded(cluster.cluster(vectors(spark, sf_dir).select("key", "vector"), 3, 10))
+    """The nearest members of a level, the least popular merged until ten are left."""
+    x = vectors(spark, sf_dir).select("key", "vector")
+    stats = {r.level: r.nodes for r in cluster.level_stats(x, 4).collect()}
+    return rounded(cluster.cluster(x, stats[2] - 1, 10))
 
 
-@query()
+@query(f"SELECT centroid, count(*) AS size, sum(key)::BIGINT AS keys FROM ({_MERGE}) GROUP BY 1")
+def cluster_members(spark, sf_dir):
+    """The members of every centroid."""
+    x = vectors(spark, sf_dir).select("key", "vector")
+    stats = {r.level: r.nodes for r in cluster.level_stats(x, 4).collect()}
+    found = written(cluster.cluster(x, stats[2] - 1, 10), "clusters")
+    parts = [cluster.members_of(found, r.centroid) for r in found.select("centroid").distinct().collect()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("centroid").agg(F.count("*").alias("size"), F.sum("key").alias("keys"))
+
+
+@query(f"WITH {_CL}, n AS (SELECT DISTINCT centroid FROM c) SELECT q.key AS a, x.key AS b, round({at(COS)}, 6) + 0.0 AS distance FROM e q, e x WHERE q.key IN (FROM n) AND x.key IN (FROM n) AND q.key < x.key")
+def cluster_network(spark, sf_dir):
+    x = vectors(spark, sf_dir).select("key", "vector")
+    return rounded(cluster.network(x, cluster.cluster_by_level(x, 2, "cos", 4))[1])
+
+
+@query(f"""WITH RECURSIVE {E}, p AS (SELECT q.key AS l, x.key AS r, round({at(COS)}, 12) AS d FROM e q, e x WHERE q.key % 50 = 0 AND x.key % 50 <> 0),
+g(step, ls, rs, b) AS (SELECT 0, []::BIGINT[], []::BIGINT[], NULL::STRUCT(l BIGINT, r BIGINT, d DOUBLE) UNION ALL
+  SELECT step + 1, list_append(ls, b.l), list_append(rs, b.r), b FROM (SELECT step, ls, rs, (SELECT arg_min({{'l': l, 'r': r, 'd': d}}, (d, r, l)) FROM p WHERE NOT list_contains(ls, l) AND NOT list_contains(rs, r)) AS b FROM g) WHERE b IS NOT NULL)
+SELECT b.l AS left_key, b.r AS right_key, round(b.d, 6) + 0.0 AS distance FROM g WHERE b IS NOT NULL""")
 def stable_join(spark, sf_dir):
     """One-to-one match of every row whose id is divisible by 50 with the other rows."""
     x = vectors(spark, sf_dir).select("key", "vector")
@@ -459,36 +526,151 @@ def sql_distance_columns(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "round(distance_sqeuclidean_f64(l_quantity, l_discount, l_tax, l_tax), 6) AS distance")
 
 
-@query(f"{_FW} SELECT doc_id, levenshtein(a, b)::INTEGER AS lev, least({_ham('a', 'b')}, 2) AS ham2 FROM w")
+@query(_whole_sql(lev="levenshtein(a, b)", ham2=f"least({_ham('a', 'b')}, 2)"))
 def sql_distance_strings(spark, sf_dir):
     register(spark)
-    return _first_words(spark, sf_dir).selectExpr("doc_id", "distance_levenshtein_bytes(a, b) AS lev", "distance_hamming_unicode(a, b, 2) AS ham2")
+    d = _word_pairs(spark, sf_dir).selectExpr("row", "doc_id", "distance_levenshtein_bytes(a, b) AS lev", "distance_hamming_unicode(a, b, 2) AS ham2")
+    return _whole(d, lev=F.col("lev"), ham2=F.col("ham2"))
 
 
-@query()
-def sql_distance_strings_whole(spark, sf_dir):
-    """Whole texts; tests hold it against brute force."""
+_DENSE = {"sqeuclidean": L2, "cosine": COS, "inner": IP, "divergence": _D}
+_KINDS = {"f64": "DOUBLE", "f32": "FLOAT", "f16": "FLOAT", "i8": "FLOAT"}
+
+
+@query("WITH e AS (SELECT vec_id AS key, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS v64, list_transform(embedding, lambda x: abs(x)::FLOAT)::DOUBLE[] AS v32 FROM embeddings) SELECT q.key AS left_key, "
+       + ", ".join(f"round(({f.format(a=f'q.v{64 if k == 'f64' else 32}', b=f'x.v{64 if k == 'f64' else 32}')})::DOUBLE, 6) + 0.0 AS {m}_{k}" for m, f in _DENSE.items() for k in _KINDS) + " FROM e q JOIN e x ON x.key = q.key + 1")
+def sql_distance_dense(spark, sf_dir):
+    """All 16 dense functions on text."""
+    register(spark)
+    pairs = neighbours(spark, sf_dir, prepare=lambda v: F.to_json(F.transform(v.cast("array<double>"), F.abs)))
+    return pairs.selectExpr("left_key", *[f"round(distance_{m}_{k}(a, b), 6) AS {m}_{k}" for m in _DENSE for k in _KINDS])
+
+
+@query(f"""WITH {I8}, p AS (SELECT q.key AS left_key, q.v::DOUBLE[] AS a, x.v::DOUBLE[] AS b FROM i q JOIN i x ON x.key = q.key + 1)
+SELECT left_key, round({L2.format(a='a', b='b')}, 6) + 0.0 AS sqeuclidean, round(CASE WHEN list_inner_product(a, b) = 0 THEN 0 ELSE {COS.format(a='a', b='b')} END, 6) + 0.0 AS cosine, {IP.format(a='a', b='b')} AS inner_,
+ list_sum(list_transform(list_zip(a, b), lambda z: bit_count(xor(((z[1] + 256) % 256)::INTEGER, ((z[2] + 256) % 256)::INTEGER))))::DOUBLE AS hamming FROM p""")
+def sql_distance_blobs(spark, sf_dir):
+    """Binary 8-bit vectors, and the same bytes as bits."""
     register(spark)
-    d = _word_pairs(spark, sf_dir).selectExpr("row", "doc_id", "distance_levenshtein_bytes(a, b) AS lev", "distance_hamming_unicode(a, b, 2) AS ham2")
-    return _whole(d, lev=F.col("lev"), ham2=F.col("ham2"))
+
+    def blob(v):
+        return F.unhex(F.array_join(F.transform(quantize.to_i8(v), lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), ""))
+
+    pairs = neighbours(spark, sf_dir, prepare=blob)
+    return pairs.selectExpr("left_key", "round(distance_sqeuclidean_i8(a, b), 6) AS sqeuclidean", "round(distance_cosine_i8(a, b), 6) AS cosine", "distance_inner_i8(a, b) AS inner_", "distance_hamming_binary(a, b) AS hamming")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, ((c_custkey * 37) % 180 - 90)::DOUBLE AS lat, ((c_custkey * 91) % 360 - 180)::DOUBLE AS lon FROM customer)
+SELECT k, round(6371008.8 * 2 * asin(sqrt(least(1.0, pow(sin(radians(10 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(20 - lon) / 2), 2)))), 3) + 0.0 AS meters FROM c""")
+def sql_distance_haversine(spark, sf_dir):
+    register(spark)
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "cast(c_custkey * 37 % 180 - 90 AS double) AS lat", "cast(c_custkey * 91 % 360 - 180 AS double) AS lon")
+    return c.selectExpr("k", "round(distance_haversine_meters(lat, lon, 10D, 20D), 3) AS meters")
 
 
 @query("SELECT vec_id AS key, generate_subscripts(embedding, 1)::INTEGER - 1 AS dim, round(unnest(embedding)::DOUBLE, 6) + 0.0 AS value FROM embeddings")
 def table_round_trip(spark, sf_dir):
     """Saved as a vector table in the shared folder, and loaded as a view."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
-    path = f"{base}/vectide-{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex[:12]}"
     by_id(spark, sf_dir).save(path)
     rows = VectorTable.load(spark, path, view=True).rows
     return rounded(rows.select("key", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double")), "value")
 
 
-@query()
+_F16 = "CASE WHEN x = 0 THEN 0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0)::DOUBLE * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END"
+_BF16 = "CASE WHEN x = 0 THEN 0 ELSE trunc(x / pow(2, floor(log2(abs(x))) - 7)) * pow(2, floor(log2(abs(x))) - 7) END"
+
+
+def _cast_sql(value: str) -> str:
+    return f"WITH u AS (SELECT vec_id AS key, generate_subscripts(embedding, 1)::INTEGER - 1 AS dim, unnest(embedding)::DOUBLE AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT key, dim, round(({value})::DOUBLE, 9) + 0.0 AS value FROM u"
+
+
+def _cast(spark, sf_dir, *kinds: str):
+    """From f32 through kinds, back as doubles."""
+    x, before = vectors(spark, sf_dir).select("key", "vector"), "f32"
+    for kind in (*kinds, "f64"):
+        x, before = x.withColumn("vector", quantize.cast(F.col("vector"), before, kind, 64)), kind
+    return x.select("key", F.posexplode("vector").alias("dim", "value")).select("key", "dim", F.round("value", 9).alias("value"))
+
+
+@query(_cast_sql(_F16))
 def quant_f16(spark, sf_dir):
-    return vectors(spark, sf_dir).select("key", quantize.to_f16("vector").alias("vector"))
+    return _cast(spark, sf_dir, "f16")
 
 
-@query()
+@query(_cast_sql(_BF16))
 def quant_bf16(spark, sf_dir):
-    return vectors(spark, sf_dir).select("key", quantize.to_bf16("vector").alias("vector"))
+    return _cast(spark, sf_dir, "bf16")
+
+
+@query(_cast_sql("(trunc(x * 127 / n) / 127)::FLOAT"))
+def quant_i8_back(spark, sf_dir):
+    return _cast(spark, sf_dir, "i8")
+
+
+@query(_cast_sql("CASE WHEN x > 0 THEN 1 ELSE 0 END"))
+def quant_b1_back(spark, sf_dir):
+    return _cast(spark, sf_dir, "f16", "b1")
+
+
+@query("SELECT vec_id AS key, round(CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) + 0.0 AS first FROM embeddings UNION ALL SELECT -1, 0.5")
+def crud_update(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    new = x.filter("key % 3 = 0").select("key", F.transform("vector", lambda v: -v).alias("vector"))
+    more = spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("vector"))
+    got = by_id(spark, sf_dir).update(new.unionByName(more), insert=True)
+    return got.rows.select("key", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("SELECT count(*) AS n, min(key) AS first, max(key) AS last, count(DISTINCT key) AS keys FROM (SELECT vec_id AS key FROM embeddings UNION ALL SELECT vec_id + (SELECT count(*) FROM embeddings) FROM embeddings)")
+def crud_append(spark, sf_dir):
+    t = by_id(spark, sf_dir)
+    return t.append(vectors(spark, sf_dir).select("vector")).rows.agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"), F.countDistinct("key").alias("keys"))
+
 
+@query(f"WITH {E} SELECT q.key AS query_id, x.label::BIGINT AS key, count(*) AS n, round(avg({at(COS)}), 6) + 0.0 AS mean, round(min({at(COS)}), 6) + 0.0 AS min, round(max({at(COS)}), 6) + 0.0 AS max FROM e q JOIN e x ON x.label = q.key // 50 % 10 WHERE q.key % 50 = 0 GROUP BY 1, 2")
+def key_distances(spark, sf_dir):
+    """Every query vector to a label, a key of many vectors."""
+    q = queries_of(vectors(spark, sf_dir))
+    pairs = q.select("query_id", (F.floor(F.col("query_id") / 50) % 10).alias("key"))
+    return rounded(by_label(spark, sf_dir).distances(q, pairs), "mean", "min", "max")
+
+
+@query(knn_sql(COS))
+def merged_paths(spark, sf_dir):
+    """Four saved tables searched as one."""
+    x, base = vectors(spark, sf_dir), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex[:12]}"
+    for i in range(4):
+        VectorTable(Config(64), x.filter(F.col("key") % 4 == i).select("key", "vector")).save(f"{base}/{i}")
+    return rounded(VectorTable.merge_paths(spark, [f"{base}/{i}" for i in range(4)]).search(queries_of(x), K))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS key, round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total FROM embeddings")
+def matrix_round_trip(spark, sf_dir):
+    """Written as matrix files in the shared folder, and read back by row ranges."""
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex[:12]}"
+    save_matrix(vectors(spark, sf_dir).select("key", "vector"), path)
+    rows = load_matrix(spark, path, rows_a_task=100)
+    return rows.select("key", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("SELECT range AS key, 1.0::DOUBLE AS norm, 32::INTEGER AS ndim FROM range(1000)")
+def generated_vectors(spark, sf_dir):
+    v = F.col("vector")
+    return random_vectors(spark, 1000, 32).select("key", F.round(F.sqrt(metrics.dot(v, v)), 6).alias("norm"), F.size(v).alias("ndim"))
+
+
+@query("SELECT vec_id AS key, count(*) OVER () * (8 + 64 * 4) AS bytes FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT NULL, 0")
+def table_sizes(spark, sf_dir):
+    """Bytes of a table of the queries, of which a fork has none."""
+    t = by_id(spark, sf_dir)
+    t = VectorTable(t.config, t.rows.filter("key % 50 = 0"))
+    return t.rows.select("key", F.lit(t.memory_usage()).cast("long").alias("bytes")).unionByName(spark.createDataFrame([(None, t.fork().memory_usage())], "key long, bytes long"))
+
+
+@query(f"WITH {E} SELECT q.key AS query_id, x.key, round({at(COS)}, 6) + 0.0 AS distance FROM e q JOIN e x ON q.label = x.label WHERE q.key % 50 = 0 AND {at(COS)} <= 0.8")
+def within_radius(spark, sf_dir):
+    """The stream-to-table neighbours on a table: queries against the rows of their own label."""
+    x = vectors(spark, sf_dir)
+    found = within(x.filter("key % 50 = 0").withColumnRenamed("key", "query_id"), x, "label", 0.8)
+    return rounded(found)
