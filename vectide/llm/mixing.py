@@ -2,7 +2,8 @@
 
 Targets: each source has a weight and a most number of words (epochs x its size). The share of the total is dealt by
 weight; sources above their cap are clamped and the excess goes to the others by weight, until none is above. That
-fixed point is found in closed form: with sources in order of cap / weight, the clamped ones are a prefix.
+fixed point is found in closed form: with sources in order of cap / weight, the clamped ones are a prefix. Ranks and
+running sums over sources go by key ranges and one row a range, so sources may be as many as web domains.
 
 Repetitions: a source takes each document floor(target / size) times whole, and the rest from documents in the order of
 a seeded hash of id and text until the words suffice. The document at the cut is taken for a fraction of its words, so a source's
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import written
+from vectide.llm.common import forget, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, 17
@@ -29,20 +30,33 @@ def order_key(doc_id: Column, text: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
 
 
+def running(rows: DataFrame, order: list, **sums: Column) -> DataFrame:
+    """rows with, for each of `sums`, its sum over all rows before in `order` (which must be total).
+
+    Rows are cut into ranges; a table of one row a range gives the sums before it, and windows run inside a range."""
+    tmp = written(rows.withColumns({f"_{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "sorted")
+    within, whole = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    by_range = tmp.groupBy("_range").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    before = by_range.select("_range", *[F.coalesce(F.sum(f"_{n}").over(whole), F.lit(0)).alias(f"_{n}_before") for n in sums])  # one row a task
+    out = tmp.join(F.broadcast(before), "_range").withColumns({n: F.col(f"_{n}_before") + F.coalesce(F.sum(f"_{n}").over(within), F.lit(0)) for n in sums})
+    return out.select(*rows.columns, *sums)
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row a source, in windows over that small table."""
-    everything = Window.partitionBy(F.lit(0))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.select("source", F.col("source_size").cast("long").alias("source_size"), w.alias("w"))
-    s = s.withColumn("cap", F.col("source_size") * float(epochs)).withColumn("ratio", F.col("cap") / F.col("w"))
+    """(source, source_size, target) from (source, source_size)."""
+    by_name = F.col("source").asc_nulls_last()
+    s = running(sizes.select("source", F.col("source_size").cast("long").alias("source_size")), [by_name], nth=F.lit(1))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    s = s.select("source", "source_size", w.alias("w"), (F.col("source_size") * float(epochs)).alias("cap"))
+    s = written(s.withColumn("ratio", F.col("cap") / F.col("w")), "weights")
+    sums = s.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    total, weight = float(sums["size"] or 0) * float(share), float(sums.w or 0.0)
     # words still to deal and weight still to serve when the sources with a smaller ratio are clamped
-    before = everything.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("total", F.sum("source_size").over(everything) * float(share))
-    s = s.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("weight", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("level", F.col("left") / F.col("weight"))
-    level = F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", F.col("source").isNull().alias("last"), "source", "level"))).over(everything)
-    s = s.withColumn("level", level["level"])
-    return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level"))).alias("target"))
+    r = running(s, [F.col("ratio"), by_name], capped=F.col("cap"), served=F.col("w"))
+    r = r.select("ratio", F.col("source").isNull().alias("last"), "source", ((F.lit(total) - F.col("capped")) / (F.lit(weight) - F.col("served"))).alias("level"))
+    first = r.filter("level < ratio").agg(F.min(F.struct("ratio", "last", "source", "level")).alias("m")).first().m
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.col("w") * F.lit(float(first.level)))
+    return s.select("source", "source_size", target.alias("target"))
 
 
 def plan(slim: DataFrame, **how) -> DataFrame:
