@@ -11,8 +11,10 @@ from vectide.functions import metrics, quality, quantize, strings
 from vectide.functions.sql import register
 from vectide.operators import ann, cluster, join, knn
 from vectide.operators.table import Config, VectorTable
+from vectide.plans.evaluation import Dataset, evaluate
 from vectide.plans.registry import ORACLES, QUERIES
 from vectide.sources.folder import written
+from vectide.sources.memory import from_arrays, padded
 from vectide.sources.matrix import load_matrix, random_vectors, save_matrix
 from vectide.streaming.upsert import latest, upserts, within
 
@@ -324,6 +326,30 @@ def test_stream_within(spark, tmp_path):
     assert [(r.query_id, r.key) for r in spark.sql("SELECT * FROM near").collect()] == [(1, 7)]
 
 
+def test_arrays_in_and_padded_results_out(spark):
+    x = np.arange(24, dtype=np.float32).reshape(8, 3)[::2]
+    rows = from_arrays(spark, x, [5, 6, 7, 8])
+    assert dict(rows.dtypes)["vector"] == "array<float>" and {r.key: r.vector for r in rows.collect()}[6] == [6.0, 7.0, 8.0]
+    assert from_arrays(spark, np.float16([1, 2])).first().vector == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        from_arrays(spark, x, [1])
+    q = from_arrays(spark, x[:2]).withColumnRenamed("key", "query_id")
+    ids, keys, distances, counts = padded(knn.search(q, rows, 6, "l2sq"), 6)
+    assert ids.tolist() == [0, 1] and keys[0].tolist() == [5, 6, 7, 8, 0, 0] and counts.tolist() == [4, 4] and np.isnan(distances[:, 4:]).all() and distances[0, 0] == 0
+
+
+def test_evaluation(spark, tmp_path):
+    data = Dataset.build(spark, count=60, ndim=8)
+    got = evaluate(Config(8, metric="ip"), data, 1)
+    assert got.recall == 1.0 and set(got.seconds) == {"add", "search"} and data.crop(10).rows.count() == 10
+    save_matrix(data.rows, f"{tmp_path}/v", "fbin")
+    save_matrix(data.rows.select("key", F.array(F.col("key").cast("double")).alias("vector")), f"{tmp_path}/t", "ibin")
+    stored = Dataset.build(spark, f"{tmp_path}/v", None, f"{tmp_path}/t")
+    assert evaluate(Config(8), stored, 1).recall == 1.0
+    with pytest.raises(ValueError):
+        evaluate(Config(8), data, tasks=["fly"])
+
+
 def test_generated_vectors(spark):
     a, b = (random_vectors(spark, 50, 300).collect() for _ in range(2))
     assert a == b and all(abs(sum(v * v for v in r.vector) - 1) < 1e-9 for r in a)
