@@ -201,6 +201,22 @@ def test_pieces_are_the_library(file):
         assert [i for p in mine.encode(text) for i in p] == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_blocks_are_the_library(monkeypatch):
+    """Blocks of texts, with so few places that pieces come and go."""
+    from vectide.llm import encoding
+
+    monkeypatch.setattr(encoding, "KEPT", 60)
+    monkeypatch.setattr(encoding, "WAITING", 40)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    mine = encoding.Encoder(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), encoding._packer("H"), "<u2")
+    parts = [" ", "  ", "\n", "\t", "\xa0", "\x85", "the", "The", "Été", "é", "ß", "İ", "it's", "'S", "'", "12", "a1b2", ".", ",", "...", "!?", "###", "`~", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "\U0001f600", "中文", "\0", "ª"]
+    r = random.Random(10)
+    for _ in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(r.randint(0, 60))]
+        for text, ids in zip(texts, mine.packed(texts), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_language(spark, docs, empty):
     rows = [(i, " ".join(R.choice(w) for _ in range(20)), lang) for i in range(60) for lang, w in (("aa", VOCAB[:30]), ("bb", [v.upper() + "ø" for v in VOCAB[30:]]))]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

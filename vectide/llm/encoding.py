@@ -28,10 +28,10 @@ import pyarrow.compute as pc
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-KEPT, WAITING, LONG = 1 << 17, 1 << 17, 1 << 16
+KEPT, WAITING, LONG = 1 << 18, 1 << 17, 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LONG = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
-_MARKED = "^([a-zß-öø-ÿ]+)[.,]$"
+_MARKED = r"^([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)$"  # letters, and other ASCII signs after them
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -170,19 +170,28 @@ class _Known:
     def look(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where in them each of the different pieces starts and how many it has.
 
-        A full stop or comma after letters is looked up apart from the word."""
+        Signs after letters are looked up apart from the word; no token crosses that boundary."""
         words = pc.replace_substring_regex(pieces, _MARKED, r"\1")
         mark = pc.binary_length(words).to_numpy() < pc.binary_length(pieces).to_numpy()
+        tails = pc.replace_substring_regex(pieces.filter(pa.array(mark)), _MARKED, r"\2").dictionary_encode()
         words = words.dictionary_encode()
-        ids, starts, sizes = self._words(words.dictionary)
-        at = words.indices.to_numpy()
-        n = sizes[at]
-        last, ends = np.cumsum(n), np.cumsum(n + mark)
-        out, within = np.empty(ends[-1], ids.dtype), np.arange(last[-1])
-        out[np.repeat(ends - mark - last, n) + within] = ids[np.repeat(starts[at] - (last - n), n) + within]
-        for sign in (".", ","):
-            out[ends[mark & pc.ends_with(pieces, sign).to_numpy(zero_copy_only=False)] - 1] = np.frombuffer(self.of.marks[sign], ids.dtype)
-        return out, ends - n - mark, n + mark
+        parts = (np.ones(len(mark), dtype=bool), words, *self._words(words.dictionary)), (mark, tails, *self._tails(tails.dictionary.to_pylist()))
+        counts = np.zeros((2, len(mark)), dtype=np.int64)
+        for count, (here, codes, _, _, sizes) in zip(counts, parts, strict=True):
+            count[here] = sizes[codes.indices.to_numpy()]
+        ends = np.cumsum(counts.sum(axis=0))
+        out = np.empty(ends[-1], self.ids.dtype)
+        for k, (here, codes, ids, starts, _) in enumerate(parts):
+            n = counts[k, here]
+            last = np.cumsum(n)
+            within, first = np.arange(n.sum()), (ends - counts[k:].sum(axis=0))[here]
+            out[np.repeat(first - (last - n), n) + within] = ids[np.repeat(starts[codes.indices.to_numpy()] - (last - n), n) + within]
+        return out, ends - counts.sum(axis=0), counts.sum(axis=0)
+
+    def _tails(self, signs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values = [self.of.kept[s] for s in signs]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.ids.dtype.itemsize
+        return np.frombuffer(b"".join(values), self.ids.dtype), np.cumsum(sizes) - sizes, sizes
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
