@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.functions.metrics import metric
+from vectide.functions.metrics import ALIASES, metric
 from vectide.operators.cluster import assign, kmeans
-from vectide.operators.knn import distances, matrix, ranked
+from vectide.operators.knn import BLOCK, MATRIX, distances, least, matrix, query_blocks, ranked
 
 SAMPLE = 20_000
 
@@ -37,9 +37,48 @@ def probed(queries: DataFrame, centroids: np.ndarray, probes: int, kind: str = "
     return rows.mapInArrow(probe, f"query_id {dict(queries.dtypes)['query_id']}, q array<double>, bucket int")
 
 
+def _probe_knn(ids: np.ndarray, q: np.ndarray, lists: dict[int, np.ndarray], kind: str, k: int):
+    """mapInArrow over (key, vector, bucket): candidates of each query; lists: the queries that probe a bucket."""
+
+    def run(batches):
+        best, known = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), dtype=np.int64)
+        for b in batches:
+            bucket = b.column(2).to_numpy(zero_copy_only=False)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else []
+            x, key = matrix(b.column(1), q.shape[1]), b.column(0).to_numpy(zero_copy_only=False)
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                rows, asked = order[start:stop], lists.get(int(bucket[order[start]]))
+                if asked is not None:
+                    d = np.concatenate([best[asked], distances(kind, q[asked], x[rows])], axis=1)
+                    names = np.concatenate([known[asked], np.broadcast_to(key[rows], (len(asked), len(rows)))], axis=1)
+                    best[asked], known[asked] = least(d, names, k)
+        at, place = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(known[at, place]), pa.array(best[at, place])], names=["query_id", "key", "distance"])
+
+    return run
+
+
 def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int, kind: str = "cos") -> DataFrame:
-    """(query_id, rank, key, distance) among the vectors of each query's `probes` nearest lists; all lists give the exact result."""
-    pairs = probed(queries, centroids, probes, kind).join(index, "bucket").select("query_id", "key", metric(kind)(F.col("q"), F.col("vector")).alias("distance"))
+    """(query_id, rank, key, distance) among the vectors of each query's `probes` nearest lists; all lists give the exact result.
+
+    As in knn.search a block of queries is broadcast; a task multiplies the vectors of a list with the queries that probe
+    it, and reads no lists that none of the block probes. Metrics without a matrix form join queries and lists on the bucket."""
+    name = ALIASES.get(kind, kind)
+    if name not in MATRIX:
+        pairs = probed(queries, centroids, probes, kind).join(index, "bucket").select("query_id", "key", metric(kind)(F.col("q"), F.col("vector")).alias("distance"))
+        return ranked(pairs, k).select("query_id", "rank", "key", "distance")
+    parts = []
+    for ids, q in query_blocks(queries.filter("vector IS NOT NULL"), BLOCK):
+        near = np.argsort(distances(name, np.asarray(q, dtype=float), centroids), axis=1, kind="stable")[:, :probes]
+        lists = {int(b): np.flatnonzero((near == b).any(axis=1)) for b in np.unique(near)}
+        rows = index.filter(F.col("bucket").isin([int(b) for b in lists])) if len(lists) < len(centroids) else index
+        parts.append(rows.select(F.col("key").cast("long"), F.col("vector").cast("array<double>"), "bucket").mapInArrow(_probe_knn(ids, np.asarray(q, dtype=float), lists, name, k), "query_id long, key long, distance double"))
+    if not parts:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, key long, distance double")
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
     return ranked(pairs, k).select("query_id", "rank", "key", "distance")
 
 

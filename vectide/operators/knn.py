@@ -44,7 +44,7 @@ def matrix(vectors: pa.Array, ndim: int | None = None) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(n), -1) if len(n) else np.zeros((0, ndim or 0))
 
 
-def _least(d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def least(d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k first of each row by (distance, key); keys has d's shape."""
     if d.shape[1] <= 4 * k:
         order = np.lexsort((keys, d), axis=1)[:, :k]
@@ -77,7 +77,7 @@ def _block_knn(ids: np.ndarray, q: np.ndarray, kind: str, k: int, group: pa.Data
                     d, known = best.get(name, (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)))
                     d = np.concatenate([d, distances(kind, q, x[part])], axis=1)
                     known = np.concatenate([known, np.broadcast_to(key[part], (len(ids), len(part)))], axis=1)
-                    best[name] = _least(d, known, k)
+                    best[name] = least(d, known, k)
         for name, (d, known) in best.items():
             n = d.shape[1]
             columns = [pa.array(np.repeat(ids, n)), pa.array(known.ravel()), pa.array(d.ravel())]
