@@ -274,8 +274,8 @@ def windows(window):
     return out
 
 
-@pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 5])
-def test_decontamination(docs, empty, bench, block_words):
+@pytest.mark.parametrize("block_words,pass_words", [(decontamination.BLOCK_WORDS, decontamination.PASS_WORDS), (5, decontamination.PASS_WORDS), (5, 20)])
+def test_decontamination(docs, empty, bench, block_words, pass_words):
     known, want = windows(10), []
     for r in docs.collect():
         w, hit, items = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(r.text)), set(), set()
@@ -285,7 +285,7 @@ def test_decontamination(docs, empty, bench, block_words):
                     hit.update(range(j, j + n))
                     items |= s
         want.append((r.doc_id, len(w), len(hit), sorted(map(str, items))))
-    got = decontamination.contamination(docs, bench, block_words=block_words)
+    got = decontamination.contamination(docs, bench, block_words=block_words, pass_words=pass_words)
     assert rows_of(got, "doc_id", "n_words", "n_hit", "items") == sorted(want, key=repr)
     assert decontamination.contamination(empty, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
@@ -294,6 +294,8 @@ def test_decontamination(docs, empty, bench, block_words):
 def test_decontaminated(docs, bench):
     out = decontamination.decontaminated(docs, bench)
     assert out.columns == docs.columns
+    several = decontamination.decontaminated(docs, bench, block_words=5, pass_words=20)  # in passes
+    assert rows_of(several, "doc_id", "text", "n_chars") == rows_of(out, "doc_id", "text", "n_chars")
     assert decontamination.contamination(out, bench).filter("n_hit > 0").count() == 0
     assert out.filter("text IS NULL").count() == 2
 

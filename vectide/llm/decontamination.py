@@ -8,8 +8,9 @@ window (10 words), or a whole item that is shorter, the words are hit; the autom
 Before streaming, numpy cuts a document to the stretches in which each pair of neighbours is a pair of neighbours in
 some item (single words, if an item has only one): outside them the longest match is under two words.
 
-The items are a test suite, far smaller than the corpus. They are cut in blocks of at most `block_words` words, one
-automaton each, so that a worker holds one bounded block's automaton per broadcast; all blocks run over all documents."""
+The items are cut in blocks of at most `block_words` words, one automaton each. A worker holds the automata of at most
+`pass_words` words (about 0.6 KB a word); items beyond that take further passes over the documents, each of which adds
+its spans to those found before. So memory is bounded whatever the test suite's size."""
 
 from __future__ import annotations
 
@@ -25,9 +26,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import blocks, bounded_batches
+from vectide.llm.common import blocks, bounded_batches, forget, written
 
-WINDOW, BLOCK_WORDS = 10, 200_000
+WINDOW, BLOCK_WORDS, PASS_WORDS = 10, 200_000, 1_000_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # over lower-cased UTF-8: every byte of a non-ASCII character is over 0x7F
 
 
@@ -149,13 +150,18 @@ class Automaton:
         return spans, items
 
 
-def automata(bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[str, int, list[Broadcast]]:
-    """A name, the window, and a broadcast (item_id, text); a longer item than a block is one block."""
-    sc, out, block, n = bench.sparkSession.sparkContext, [], [], 0
+def automata(bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, pass_words: int = PASS_WORDS) -> list[tuple[str, int, list[Broadcast]]]:
+    """For each pass a name, the window, and the broadcasts of its blocks of (item_id, words); a longer item than a block is one block."""
+    sc, out, block, n, size = bench.sparkSession.sparkContext, [], [], 0, 0
 
     def put():
+        nonlocal size
         if block:
-            out.append(sc.broadcast([(i, w) for i, w in block]))
+            if not out or size + n > pass_words:
+                out.append((uuid.uuid4().hex, window, []))
+                size = 0
+            out[-1][2].append(sc.broadcast(block))
+            size += n
 
     for row in bench.select("item_id", "text").toLocalIterator():  # one partition of the items at a time
         words = words_of(row.text)
@@ -165,7 +171,7 @@ def automata(bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WO
         block.append((row.item_id, words))
         n += len(words)
     put()
-    return uuid.uuid4().hex, window, out
+    return out or [(uuid.uuid4().hex, window, [])]
 
 
 _BUILT: dict = {}  # of a worker: the automata of the last operator it ran
@@ -189,71 +195,119 @@ def scan_words(parts: list[Automaton], words: list[bytes]) -> tuple[np.ndarray,
     return hit, sorted(str(i) for i in items if i is not None)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+_SPANS, _FOUND = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), "struct<n_words:long,spans:array<struct<s:int,e:int>>,items:array<string>>"
+
+
+def _runs(hit: np.ndarray) -> list[dict]:
+    edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0])).tolist()
+    return [{"s": a, "e": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def _scanned(docs: DataFrame, passes: list[tuple], *keep: str) -> DataFrame:
+    """The columns `keep` and found (n_words, spans of hit word positions, items) of docs (text, ...); a table for each pass but the last."""
+
+    def scan_by(sources: tuple):
+        @F.arrow_udf(_FOUND)
+        def scan(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            parts = _built(sources)
+            for texts, before in batches:
+                rows, earlier = [], before.to_pylist()
+                for block in blocks(texts):
+                    for text in block:
+                        words = words_of(text)
+                        hit, items = scan_words(parts, words)
+                        if known := earlier[len(rows)]:
+                            for r in known["spans"]:
+                                hit[r["s"] : r["e"]] = True
+                            items = sorted({*items, *known["items"]})
+                        rows.append({"n_words": len(words), "spans": _runs(hit), "items": items})
+                yield pa.array(rows, type=pa.struct([("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))]))
+
+        return scan
+
+    rows, last = docs.withColumn("found", F.lit(None).cast(_FOUND)), None
+    for i, sources in enumerate(passes):
+        rows = rows.select(*dict.fromkeys([*keep, "text"]), scan_by(sources)("text", "found").alias("found"))
+        if i + 1 < len(passes):
+            rows = written(rows, "spans")
+            if last is not None:
+                forget(last)
+            last = rows
+    return rows.select(*keep, "found")
+
+
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, items) for each row of docs; items: sorted ids, as strings, with an occurring window.
 
     An item whose id is null hits words like any other, and is not listed.
     Null and empty texts have no words, in documents and items. Repeated rows stay repeated; items with equal texts all
     count. An empty benchmark hits nothing. Other columns aren't read."""
     bounded_batches(docs.sparkSession)
-    sources = automata(bench, window, block_words)
-
-    @F.arrow_udf("struct<n_words:long,n_hit:long,items:array<string>>")
-    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parts = _built(sources)
-        for texts in batches:
-            rows = []
-            for block in blocks(texts):
-                for text in block:
-                    words = words_of(text)
-                    hit, items = scan_words(parts, words)
-                    rows.append({"n_words": len(words), "n_hit": int(hit.sum()), "items": items})
-            yield pa.array(rows, type=pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))]))
-
-    return docs.select("doc_id", scan("text").alias("r")).select("doc_id", "r.*")
+    found = _scanned(docs.select("doc_id", "text"), automata(bench, window, block_words, pass_words), "doc_id")
+    n_hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["s"])
+    return found.select("doc_id", "found.n_words", n_hit.alias("n_hit"), "found.items")
 
 
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def cleaned_text(parts: list[Automaton], text: str, most_coverage: float) -> str | None:
-    """text without its hit spans; None if they cover more than most_coverage of its words."""
-    raw = text.encode("utf-8", "replace")
-    found = list(WORD.finditer(raw.lower()))
-    hit, _ = scan_words(parts, [m.group() for m in found])
+def without(text: str, hit: np.ndarray, most_coverage: float) -> str | None:
+    """text without its hit words and what is between them; None if they are more than most_coverage of its words."""
     if not hit.any():
         return text
     if hit.mean() > most_coverage:
         return None
-    edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
-    out, last = [], 0
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        out.append(raw[last : found[a].start()])
-        last = found[b - 1].end()
+    raw = text.encode("utf-8", "replace")
+    found, out, last = list(WORD.finditer(raw.lower())), [], 0
+    for r in _runs(hit):
+        out.append(raw[last : found[r["s"]].start()])
+        last = found[r["e"] - 1].end()
     return b"".join([*out, raw[last:]]).decode("utf-8", "replace")
 
 
-def decontaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, most_coverage: float = 0.8) -> DataFrame:
+def decontaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, most_coverage: float = 0.8, pass_words: int = PASS_WORDS) -> DataFrame:
     """docs, in their columns, without hit spans; documents of which more than most_coverage is hit go.
 
-    Removing a span can join words into a new window; the rest is scanned again until nothing is hit."""
+    Removing a span can join words into a new window; the rest is scanned again until nothing is hit. A null text stays null."""
     bounded_batches(docs.sparkSession)
-    sources = automata(bench, window, block_words)
-
-    @F.arrow_udf("string")
-    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parts = _built(sources)
-        for texts in batches:
-            out = []
+    passes = automata(bench, window, block_words, pass_words)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    if len(passes) == 1:
+        sources = passes[0]
+
+        @F.arrow_udf("string")
+        def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            parts = _built(sources)
+            for texts in batches:
+                out = []
+                for block in blocks(texts):
+                    for text in block:
+                        while (hit := scan_words(parts, words_of(text))[0]).any() and (rest := without(text, hit, most_coverage)) is not None:
+                            text = rest
+                        out.append(None if hit.any() else text)
+                yield pa.array(out, type=pa.string())
+
+        rows = rows.select("row", clean("text").alias("rest")).filter("rest IS NOT NULL")
+    else:
+
+        @F.arrow_udf("string")
+        def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+            out, spans = [], found.field("spans").to_pylist()
             for block in blocks(texts):
                 for text in block:
-                    while (rest := cleaned_text(parts, text, most_coverage)) is not None and rest != text:
-                        text = rest
-                    out.append(rest)
-            yield pa.array(out, type=pa.string())
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), clean("text").alias("rest")).filter("rest IS NOT NULL")
+                    hit = np.zeros(len(words_of(text)), dtype=bool)
+                    for r in spans[len(out)]:
+                        hit[r["s"] : r["e"]] = True
+                    out.append(without(text, hit, most_coverage))
+            return pa.array(out, type=pa.string())
+
+        while True:
+            turn = written(_scanned(rows, passes, "row", "text").select("row", "text", cut("text", "found").alias("rest")).filter("rest IS NOT NULL"), "cut")
+            if turn.filter("rest <> text").isEmpty():
+                rows = turn.select("row", "rest")
+                break
+            rows = turn.select("row", F.col("rest").alias("text"))
     text = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("rest"))
     out = {"text": text} | ({"n_chars": F.when(F.col("rest") == F.coalesce("row.text", F.lit("")), F.col("row.n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     return rows.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
