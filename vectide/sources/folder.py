@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder of this application's below spark.checkpoint.dir; a local one only where that is unset and Spark is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}"
     path = f"{base}/vectide-{spark.sparkContext.applicationId}"
