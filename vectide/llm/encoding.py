@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-KEPT, WAITING, LONG = 1 << 18, 1 << 17, 1 << 16
+KEPT, WAITING, LONG = 1 << 17, 1 << 16, 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _LONG = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _MARKED = r"^([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)$"  # letters, and other ASCII signs after them
