@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -430,6 +431,49 @@ def test_quality_of_languages_without_a_reference(spark, monkeypatch):
     assert got[90] and not got[91]
 
 
+def test_quality_compares_with_all_of_many_languages(spark):
+    """Without a lang, a text like the smallest of 2,101 languages passes, and one like none fails."""
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    rows = [(i, text(f"l{i:04}") + " more" * (i < 2100), f"l{i:04}") for i in range(2101)] + [(5000, text("l2100"), None), (5001, text("other"), None)]
+    got = {r.doc_id: r for r in quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert got[5000].kept and got[5000].word_distance == got[2100].word_distance < 1e-6 and not got[5001].kept
+    assert all(got[i].kept for i in range(2101))
+
+
+@pytest.mark.parametrize(("languages", "known"), [(2, 0), (3, 10**6), (100, 0)])
+def test_quality_in_parts_is_the_whole(spark, monkeypatch, languages, known):
+    """Languages in several broadcasts, words counted by a shuffle, words left out of reports: all as plain counts have it."""
+    monkeypatch.setattr(quality_rules, "LANGUAGES", languages)
+    monkeypatch.setattr(quality_rules, "KNOWN", known)
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.4)) % (500 + 9 * i)}" for _ in range(9000 if i % 7 == 0 else 80)), f"l{i % 7}" if i < 63 else None) for i in range(70)] + [(99, "", "none"), (100, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    words, classes = {}, {}
+    for _, t, lang in rows[:63]:
+        words.setdefault(lang, Counter()).update(t.encode().split())
+        classes[lang] = classes.get(lang, 0) + np.bincount(np.frombuffer(t.encode(), dtype=np.uint8), minlength=256) @ quality_rules.TABLE
+    common = {lang: [w for w, c in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON] if 4500 * c > n.total()] for lang, n in words.items()}
+    shares = lambda n, kept: np.array([n[w] for w in kept] + [n.total() - sum(n[w] for w in kept)]) / n.total()
+    assert any(n.total() > quality_rules.REPORTED for n in words.values())
+    got = quality_rules.references(docs)
+    assert got["langs"] == sorted(words)  # not the one without a word, whose distance would be 0 to any text
+    for lang, share in zip(sorted(words), got["words"], strict=True):
+        assert list(share) == [*common[lang], None] and list(share.values()) == pytest.approx(shares(words[lang], common[lang]))
+    for g in quality_rules.rules(docs).filter("n_words > 0").collect():
+        raw = rows[g.doc_id][1].encode()
+        own, mine = Counter(raw.split()), np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) @ quality_rules.TABLE
+        assert g.word_distance == pytest.approx(min(float(quality_rules.distance(shares(own, common[k]), shares(words[k], common[k]))) for k in words), abs=1e-6)
+        assert g.class_distance == pytest.approx(min(float(quality_rules.distance(mine / mine.sum(), c / c.sum())) for c in classes.values()), abs=1e-6)
+
+
+def test_quality_reports_of_many_languages(monkeypatch):
+    """Languages without words fill a report, too, so a task doesn't hold all of them."""
+    monkeypatch.setattr(quality_rules, "KEPT", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array([""] * 8), pa.array([f"l{b}{i}" for i in range(8)])], names=["text", "lang"]) for b in range(6)]
+    out = [b.num_rows for b in quality_rules._reference(iter(batches))]
+    assert len(out) > 3 and max(out) <= 16 * (quality_rules.CLASSES + 2)
+
+
 def test_quality_reports_keep_memory_bounded(spark, monkeypatch):
     """Reports in the middle of a task change no reference."""
     rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(120)) + f" only{i}", "en") for i in range(60)]
