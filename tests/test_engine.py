@@ -449,3 +449,23 @@ def test_string_distances_of_whole_texts(spark, tmp_path):
         got = QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == len(rows) and {r.doc_id: tuple(r)[1:] for r in got} == rows, name
         assert rows[5] != rows[6]
+
+
+def test_nearest_centroids_are_sought_in_tiles(monkeypatch):
+    cells, known = [], knn.distances
+    monkeypatch.setattr(cluster, "distances", lambda kind, q, x: cells.append(len(q) * len(x)) or known(kind, q, x))
+    x = np.random.default_rng(3).standard_normal((1500, 4))
+    centroids = np.concatenate([x[:700], x[:700] * 2, x[:1200]])  # ties in other tiles: the lowest number
+    at, d = cluster._nearest(x, centroids, "l2sq")
+    assert at[:1200].tolist() == [i if i < 700 else 1400 + i for i in range(1200)] and d[:1200].max() < 1e-12
+    want = known("l2sq", x, centroids).min(axis=1)
+    assert np.abs(d - want).max() < 1e-12 and max(cells) <= 1 << 20
+    assert cluster._nearest(x[:0], centroids, "l2sq")[0].shape == (0,)
+
+
+def test_members_of_a_level_in_several_blocks(spark, monkeypatch):
+    x = written(random_vectors(spark, 400, 8), "points")
+    find = lambda: sorted((r.key, r.centroid, round(r.distance, 9)) for r in cluster.cluster_by_level(x, 1, "cos", 4).collect())
+    want = find()
+    monkeypatch.setattr(cluster, "MEMBERS", 7)
+    assert find() == want

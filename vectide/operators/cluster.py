@@ -15,12 +15,27 @@ from pyspark.sql import functions as F
 from vectide.functions.metrics import metric
 from vectide.operators.knn import distances, matrix, query_blocks, search
 
+#: Rows and centroids of the largest matrix of distances in a worker.
+TILE = 512, 1024
+#: Members that a worker holds.
+MEMBERS = 32_768
+
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centroid of each row, the lowest number on ties, and the distance."""
-    d = distances(kind, x, centroids)
-    at = d.argmin(axis=1) if len(x) else np.zeros(0, dtype=int)
-    return at, d[np.arange(len(x)), at]
+    """The nearest centroid of each row, the lowest number on ties, and the distance; tile by tile, whatever the numbers of both."""
+    at, least = np.zeros(len(x), dtype=int), np.zeros(len(x))
+    for i in range(0, len(x), TILE[0]):
+        rows = slice(i, i + TILE[0])
+        for j in range(0, len(centroids), TILE[1]):
+            d = distances(kind, x[rows], centroids[j : j + TILE[1]])
+            first = d.argmin(axis=1)
+            d = d[np.arange(len(d)), first]
+            if j == 0:
+                at[rows], least[rows] = first, d
+            else:
+                nearer = d < least[rows]
+                at[rows], least[rows] = np.where(nearer, first + j, at[rows]), np.where(nearer, d, least[rows])
+    return at, least
 
 
 def assign(points: DataFrame, centroids: np.ndarray, kind: str = "l2sq", *more: str) -> DataFrame:
@@ -141,23 +156,29 @@ def cluster_by_level(points: DataFrame, at: int, kind: str = "cos", connectivity
 
     The members are about connectivity**-at of the points. With more than one block of them, a row takes the least of its blocks
     by its key and vector, so rows with one key stay apart."""
+    return _by_level(points, at, kind, connectivity)
+
+
+def _by_level(points: DataFrame, at: int, kind: str, connectivity: int, *more: str) -> DataFrame:
+    """cluster_by_level, with more columns; of them `vector` in double."""
     members = points.filter("vector IS NOT NULL").filter(level(F.col("key"), connectivity) >= max(at, 1)).select(F.col("key").alias("query_id"), "vector")
     parts = []
-    for ids, block in query_blocks(members, 4096):
+    names = ["key", "row", "centroid", "distance", *more]
+    for ids, block in query_blocks(members, MEMBERS):
 
-        def nearest(batches, ids=ids, block=block):
+        def nearest(batches, ids=ids, block=np.asarray(block, dtype=float)):
             for b in batches:
                 first, d = _nearest(matrix(b.column(1), block.shape[1]), block, kind)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids[first]), pa.array(d)], names=["key", "row", "centroid", "distance"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids[first]), pa.array(d), *[b.column(1) for _ in more]], names=names)
 
         rows = points.filter("vector IS NOT NULL").select("key", F.col("vector").cast("array<double>"), F.monotonically_increasing_id().alias("row"))
-        parts.append(rows.mapInArrow(nearest, "key long, row long, centroid long, distance double"))
+        parts.append(rows.mapInArrow(nearest, "key long, row long, centroid long, distance double" + "".join(f", {c} array<double>" for c in more)))
     if not parts:
         raise ValueError("too few members to cluster")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("row") if len(parts) == 1 else out.groupBy("key", "row").agg(F.min(F.struct("distance", "centroid")).alias("m")).select("key", "m.centroid", "m.distance")
+    return out.drop("row") if len(parts) == 1 else out.groupBy("key", "row").agg(F.min(F.struct("distance", "centroid", *more)).alias("m")).select("key", "m.centroid", "m.distance", *[f"m.{c}" for c in more])
 
 
 def merged(sizes: dict[int, int], vectors: dict[int, np.ndarray], most: int, kind: str) -> dict[int, int]:
