@@ -469,3 +469,19 @@ def test_members_of_a_level_in_several_blocks(spark, monkeypatch):
     want = find()
     monkeypatch.setattr(cluster, "MEMBERS", 7)
     assert find() == want
+
+
+def test_clusters_are_assigned_once(spark, monkeypatch):
+    x = written(random_vectors(spark, 400, 8), "points")
+    monkeypatch.setattr(cluster, "assign", lambda *a: pytest.fail("a second pass over all centroids"))
+    got = cluster.cluster(x, 5, 6)
+    assert got.columns == ["key", "centroid", "distance"] and got.count() == 400 and cluster.popularity(got).count() <= 6
+    rng = np.random.default_rng(5)
+    sizes, vectors = {k * 3: int(n) for k, n in enumerate(rng.integers(1, 9, 300))}, {k * 3: v for k, v in enumerate(rng.standard_normal((300, 4)))}
+    alive, into = dict(sizes), {c: c for c in sizes}
+    while len(alive) > 10:
+        gone = min(alive, key=lambda c: (alive[c], -c))
+        to = min((c for c in alive if c != gone), key=lambda c: (((vectors[c] - vectors[gone]) ** 2).sum(), c))
+        alive[to] += alive.pop(gone)
+        into = {c: to if e == gone else e for c, e in into.items()}
+    assert cluster.merged(sizes, vectors, 10, "l2sq") == into

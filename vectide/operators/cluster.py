@@ -5,6 +5,7 @@ holds about connectivity**-L of the rows, the same on every run."""
 
 from __future__ import annotations
 
+import heapq
 import time
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.metrics import metric
 from vectide.operators.knn import distances, matrix, query_blocks, search
+from vectide.sources.folder import forget, written
 
 #: Rows and centroids of the largest matrix of distances in a worker.
 TILE = 512, 1024
@@ -183,20 +185,35 @@ def _by_level(points: DataFrame, at: int, kind: str, connectivity: int, *more: s
 
 def merged(sizes: dict[int, int], vectors: dict[int, np.ndarray], most: int, kind: str) -> dict[int, int]:
     """centroid -> survivor. While there are more than `most`, the least popular (on ties the highest key) joins its nearest survivor, which takes over its members."""
-    alive, into = dict(sizes), {}
-    while len(alive) > most:
-        gone = min(alive, key=lambda c: (alive[c], -c))
-        others = sorted(c for c in alive if c != gone)
-        to = others[int(distances(kind, vectors[gone][None, :], np.array([vectors[c] for c in others]))[0].argmin())]
+    names = sorted(sizes)
+    n, into, left = [sizes[c] for c in names], list(range(len(names))), len(names)
+    heap = [(n[i], -names[i], i) for i in range(left)]
+    heapq.heapify(heap)
+    ids, x = np.arange(left), np.array([vectors[c] for c in names], dtype=float)  # the survivors, and some that are gone
+    xx, place, there = (x * x).sum(axis=1), np.arange(left), np.ones(left, dtype=bool)
+    while left > most:
+        size, _, gone = heapq.heappop(heap)
+        if into[gone] != gone or size != n[gone]:
+            continue
+        there[place[gone]] = False
+        d = distances(kind, x[place[gone]][None, :], x, xx)[0]
+        to = int(ids[np.where(there, d, np.inf).argmin()])
         into[gone] = to
-        alive[to] += alive.pop(gone)
+        n[to] += n[gone]
+        heapq.heappush(heap, (n[to], -names[to], to))
+        left -= 1
+        if left < 0.8 * len(ids):
+            ids, x, xx = ids[there], x[there], xx[there]
+            there = np.ones(left, dtype=bool)
+            place[ids] = np.arange(left)
 
-    def end(c: int) -> int:
-        while c in into:
-            c = into[c]
-        return c
+    def end(i: int) -> int:
+        while into[i] != i:
+            into[i] = into[into[i]]
+            i = into[i]
+        return i
 
-    return {c: end(c) for c in sizes}
+    return {c: names[end(i)] for i, c in enumerate(names)}
 
 
 def cluster(points: DataFrame, min_count: int = 0, max_count: int | None = None, kind: str = "cos", connectivity: int = 4) -> DataFrame:
@@ -205,7 +222,7 @@ def cluster(points: DataFrame, min_count: int = 0, max_count: int | None = None,
     If they have fewer than min_count centroids, one level down is taken, and so on to level 1. If they have more than max_count, the least popular is
     merged into its nearest until they haven't; a merged centroid can be merged again. Distances are to the centroid a point ends at.
     min_count 0: level 1, at least two, as many as it has. The members of the level chosen must fit the driver; that
-    level is the smallest that serves."""
+    level is the smallest that serves. The nearest members are sought once, and kept in the shared folder."""
     stats = {r.level: r.nodes for r in level_stats(points, connectivity).collect()}
     if max(stats, default=0) < 2:
         raise ValueError("too few members to cluster")
@@ -214,22 +231,22 @@ def cluster(points: DataFrame, min_count: int = 0, max_count: int | None = None,
     else:
         at, min_count, max_count = 1, 2, stats[1]
     while True:
-        got = cluster_by_level(points, at, kind, connectivity)
-        sizes = {r.centroid: r["size"] for r in popularity(got).collect()}
+        found = written(_by_level(points, at, kind, connectivity, "vector"), "nearest")
+        sizes = {r.centroid: r["size"] for r in popularity(found).collect()}
         if len(sizes) >= min_count or at == 1:
             break
+        forget(found)
         at -= 1
     if max_count is None or len(sizes) <= max_count:
-        return got
+        return found.drop("vector")
     members = points.filter("vector IS NOT NULL").filter(level(F.col("key"), connectivity) >= at).groupBy("key").agg(F.min("vector").alias("vector"))
     vectors = {r.key: np.array(r.vector, dtype=float) for r in members.collect() if r.key in sizes}
     ends = merged(sizes, vectors, max(1, max_count), kind)
-    rows = [(int(c), int(e), vectors[e].tolist()) for c, e in ends.items()]
-    last = F.broadcast(points.sparkSession.createDataFrame(rows, "centroid long, last long, at array<double>"))
-    ids = np.array(sorted(sizes))
-    found = assign(points, np.array([vectors[c] for c in ids.tolist()]), kind, "vector")
-    names = F.element_at(F.array(*[F.lit(int(i)) for i in ids]), F.col("cluster") + 1).cast("long")
-    return found.select("key", names.alias("centroid"), "vector").join(last, "centroid").select("key", F.col("last").alias("centroid"), metric(kind)(F.col("vector").cast("array<double>"), F.col("at")).alias("distance"))
+    spark, last = points.sparkSession, sorted(set(ends.values()))
+    names = spark.createDataFrame(pa.table({"centroid": pa.array(list(ends), pa.int64()), "last": pa.array(list(ends.values()), pa.int64())}))
+    places = spark.createDataFrame([(int(c), vectors[c].tolist()) for c in last], "last long, at array<double>")
+    rows = found.select("key", "centroid", "vector").join(F.broadcast(names), "centroid").join(F.broadcast(places), "last")
+    return rows.select("key", F.col("last").alias("centroid"), metric(kind)(F.col("vector"), F.col("at")).alias("distance"))
 
 
 def popularity(clusters: DataFrame) -> DataFrame:

@@ -22,15 +22,21 @@ BLOCK = 4096
 MATRIX = ("ip", "cos", "l2sq")
 
 
-def distances(kind: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """queries x rows."""
+def distances(kind: str, q: np.ndarray, x: np.ndarray, xx: np.ndarray | None = None) -> np.ndarray:
+    """queries x rows; xx: the rows' sums of squares, where they are known."""
     ab = q @ x.T
     if kind == "ip":
         return 1 - ab
-    qq, xx = (q * q).sum(axis=1)[:, None], (x * x).sum(axis=1)[None, :]
+    qq, xx = (q * q).sum(axis=1)[:, None], ((x * x).sum(axis=1) if xx is None else xx)[None, :]
     if kind == "l2sq":
-        return np.maximum(qq + xx - 2 * ab, 0)
+        d = qq + xx
+        ab *= 2
+        d -= ab
+        return np.maximum(d, 0, out=d)
     scale = np.sqrt(qq) * np.sqrt(xx)
+    if scale.all():
+        ab /= scale
+        return np.subtract(1, ab, out=ab)
     return np.where(scale > 0, 1 - ab / np.where(scale > 0, scale, 1), np.where((qq == 0) & (xx == 0), 0.0, 1.0))
 
 
