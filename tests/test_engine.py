@@ -485,3 +485,15 @@ def test_clusters_are_assigned_once(spark, monkeypatch):
         alive[to] += alive.pop(gone)
         into = {c: to if e == gone else e for c, e in into.items()}
     assert cluster.merged(sizes, vectors, 10, "l2sq") == into
+
+
+def test_network_ranks_nothing(spark, monkeypatch):
+    x = written(random_vectors(spark, 300, 8), "points")
+    clusters = cluster.cluster_by_level(x, 1, "cos", 4)
+    monkeypatch.setattr(cluster, "MEMBERS", 20)
+    nodes, edges = cluster.network(x, clusters)
+    assert "Window" not in edges._jdf.queryExecution().executedPlan().toString()
+    names, rows = {r.centroid for r in nodes.collect()}, {r.key: np.array(r.vector, dtype=float) for r in x.collect()}
+    got = {(r.a, r.b): r.distance for r in edges.collect()}
+    assert len(names) > 40 and edges.count() == len(got) and set(got) == {(a, b) for a in names for b in names if a < b}
+    assert all(d == pytest.approx(knn.distances("cos", rows[a][None, :], rows[b][None, :])[0, 0], abs=1e-9) for (a, b), d in got.items())

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions.metrics import metric
-from vectide.operators.knn import distances, matrix, query_blocks, search
+from vectide.operators.knn import distances, matrix, query_blocks
 from vectide.sources.folder import forget, written
 
 #: Rows and centroids of the largest matrix of distances in a worker.
@@ -262,8 +262,29 @@ def subcluster(points: DataFrame, clusters: DataFrame, centroid: int, **how) ->
 
 
 def network(points: DataFrame, clusters: DataFrame, kind: str = "cos") -> tuple[DataFrame, DataFrame]:
-    """Nodes (centroid, size) and edges (a, b, distance) between all centroids, which max_count bounds."""
+    """Nodes (centroid, size) and edges (a, b, distance) between all centroids, which max_count bounds.
+
+    The edges are as many as pairs of centroids; a task makes those of 512 of them, a few tiles at once."""
     nodes = popularity(clusters)
-    x = points.join(nodes.select(F.col("centroid").alias("key")), "key").select("key", "vector")
-    edges = search(x.select(F.col("key").alias("query_id"), "vector"), x, nodes.count(), kind).filter("query_id < key")
-    return nodes, edges.select(F.col("query_id").alias("a"), F.col("key").alias("b"), "distance")
+    x = written(points.filter("vector IS NOT NULL").join(nodes.select(F.col("centroid").alias("key")), "key").select(F.col("key").cast("long"), F.col("vector").cast("array<double>")), "nodes")
+    rows = x.repartition(max(1, -(-x.count() // TILE[0])))
+    names, parts = ["a", "b", "distance"], []
+    for ids, block in query_blocks(x.withColumnRenamed("key", "query_id"), MEMBERS):
+
+        def edges(batches, ids=ids, block=np.asarray(block, dtype=float)):
+            for b in batches:
+                key, v = b.column(0).to_numpy(), matrix(b.column(1), block.shape[1])
+                for i in range(0, len(key), 64):
+                    for j in range(0, len(ids), TILE[1]):
+                        p, q = np.nonzero(ids[j : j + TILE[1], None] < key[None, i : i + 64])
+                        if len(p):
+                            d = distances(kind, block[j : j + TILE[1]], v[i : i + 64])
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[j + p]), pa.array(key[i + q]), pa.array(d[p, q])], names=names)
+
+        parts.append(rows.mapInArrow(edges, "a long, b long, distance double"))
+    if not parts:
+        return nodes, points.sparkSession.createDataFrame([], "a long, b long, distance double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return nodes, out
