@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -497,3 +498,18 @@ def test_network_ranks_nothing(spark, monkeypatch):
     got = {(r.a, r.b): r.distance for r in edges.collect()}
     assert len(names) > 40 and edges.count() == len(got) and set(got) == {(a, b) for a in names for b in names if a < b}
     assert all(d == pytest.approx(knn.distances("cos", rows[a][None, :], rows[b][None, :])[0, 0], abs=1e-9) for (a, b), d in got.items())
+
+
+def test_search_keeps_little_at_once(monkeypatch):
+    cells, known, rng = [], knn.distances, np.random.default_rng(7)
+    monkeypatch.setattr(knn, "distances", lambda kind, q, x: cells.append(len(q) * len(x)) or known(kind, q, x))
+    q, x, key = rng.integers(0, 3, (1500, 4)).astype(float), rng.integers(0, 3, (2500, 4)).astype(float), rng.permutation(2500)  # many ties
+    for k in (1, 7, 3000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(x[at].tolist(), pa.list_(pa.float64()))], names=["key", "vector"]) for at in np.split(np.arange(2500), [0, 3, 2100])]
+        got = pa.Table.from_batches(list(knn._block_knn(np.arange(len(q)), q[: 1500 if k < 99 else 20], "l2sq", k)(iter(batches)) if k < 99 else knn._block_knn(np.arange(20), q[:20], "l2sq", k)(iter(batches)))).to_pandas()
+        d = known("l2sq", q, x)
+        for i, mine in got.groupby("query_id"):
+            want = np.lexsort((key, d[i]))[:k]
+            assert mine.key.tolist() == key[want].tolist() and mine.distance.tolist() == d[i][want].tolist()
+        assert got.query_id.nunique() == (1500 if k < 99 else 20)
+    assert max(cells) <= 1 << 20

@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from vectide.functions.metrics import ALIASES, metric
 
 BLOCK = 4096
+#: Distances that a worker holds at once.
+CELLS = 1 << 20
 MATRIX = ("ip", "cos", "l2sq")
 
 
@@ -64,11 +66,51 @@ def least(d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return out, names
 
 
+class Least:
+    """The k first of each of n queries by (distance, key), from any number of parts; little more than these are held."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.parts, self.size = n, k, [], 0
+        self.edge, self.last = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)  # each query's k-th so far
+
+    def add(self, d: np.ndarray, keys: np.ndarray) -> None:
+        """d: queries x keys."""
+        edge, last = self.edge, self.last
+        if d.shape[1] > 4 * self.k and np.isinf(edge).any():
+            first = np.partition(d, self.k - 1, axis=1)[:, self.k - 1]
+            edge, last = np.where(first < edge, first, edge), np.where(first < edge, np.iinfo(np.int64).max, last)
+        in_, tie = ~(d >= edge[:, None]), d == edge[:, None]
+        if tie.any():
+            in_ |= tie & (keys[None, :] < last[:, None])
+        q, x = np.nonzero(in_)
+        if len(q):
+            self.parts.append((q, keys[x], d[q, x]))
+            self.size += len(q)
+        if self.size > 2 * self.n * self.k or np.isinf(self.edge).any() and self.size >= self.n * self.k:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, key, distance) of the k first of each query, which alone stay."""
+        if not self.parts:
+            return np.zeros(0, dtype=int), np.zeros(0, dtype=np.int64), np.zeros(0)
+        q, keys, d = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((keys, d, q))
+        start = np.searchsorted(q[order], np.arange(self.n + 1))
+        order = order[np.arange(len(order)) - start[q[order]] < self.k]
+        q, keys, d = q[order], keys[order], d[order]
+        full = np.flatnonzero(np.diff(start) >= self.k)
+        at = np.searchsorted(q, full) + self.k - 1
+        self.edge[full], self.last[full] = d[at], keys[at]
+        self.parts, self.size = [(q, keys, d)], len(q)
+        return q, keys, d
+
+
 def _block_knn(ids: np.ndarray, q: np.ndarray, kind: str, k: int, group: pa.DataType | None = None):
     """mapInArrow over (key, vector[, group]): candidates of each query, and of each group if there is a third column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
+        step = max(16, CELLS // len(ids))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -78,17 +120,15 @@ def _block_knn(ids: np.ndarray, q: np.ndarray, kind: str, k: int, group: pa.Data
             code = codes.indices.to_numpy() if codes is not None else np.zeros(len(x), dtype=int)
             for g, name in enumerate(names):
                 rows = np.flatnonzero(code == g)
-                for at in range(0, len(rows), 2048):
-                    part = rows[at : at + 2048]
-                    d, known = best.get(name, (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)))
-                    d = np.concatenate([d, distances(kind, q, x[part])], axis=1)
-                    known = np.concatenate([known, np.broadcast_to(key[part], (len(ids), len(part)))], axis=1)
-                    best[name] = least(d, known, k)
-        for name, (d, known) in best.items():
-            n = d.shape[1]
-            columns = [pa.array(np.repeat(ids, n)), pa.array(known.ravel()), pa.array(d.ravel())]
+                found = best.setdefault(name, Least(len(ids), k))
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
+                    found.add(distances(kind, q, x[part]), key[part])
+        for name, found in best.items():
+            of, known, d = found.cut()
+            columns = [pa.array(ids[of]), pa.array(known), pa.array(d)]
             if group is not None:
-                columns.append(pa.array([name] * (len(ids) * n), type=group))
+                columns.append(pa.array([name] * len(of), type=group))
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "key", "distance", "per"][: len(columns)])
 
     return run
@@ -121,7 +161,7 @@ def search(
         if name in MATRIX and not native:
             schema = "query_id long, key long, distance double" + (f", per {dict(x.dtypes)[per]}" if per else "")
             group = to_arrow_type(x.schema[per].dataType) if per else None
-            found = x.select(F.col("key").cast("long"), F.col("vector").cast("array<double>"), *groups[1:]).mapInArrow(_block_knn(ids, q, name, k + more, group), schema)
+            found = x.select(F.col("key").cast("long"), F.col("vector").cast("array<double>"), *groups[1:]).mapInArrow(_block_knn(ids, np.asarray(q, dtype=float), name, k + more, group), schema)
             parts.append(found.withColumnRenamed("per", per) if per else found)
         else:
             small = F.broadcast(queries.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, q, strict=True)], f"query_id long, q {dict(vectors.dtypes)['vector']}"))
