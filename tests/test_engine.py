@@ -513,3 +513,24 @@ def test_search_keeps_little_at_once(monkeypatch):
             assert mine.key.tolist() == key[want].tolist() and mine.distance.tolist() == d[i][want].tolist()
         assert got.query_id.nunique() == (1500 if k < 99 else 20)
     assert max(cells) <= 1 << 20
+
+
+def test_distances_to_keys_and_within_a_radius_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    x = spark.createDataFrame([(i, rng.standard_normal(4).tolist() if i % 9 else None, [None, "a", "b", "c"][i % 4], i % 5) for i in range(120)], "id long, vector array<double>, g string, label int")
+    q = x.filter("id % 7 = 0").select(F.col("id").alias("query_id"), "vector", "g")
+    q = q.unionByName(q.filter("query_id % 2 = 1").withColumn("vector", F.transform("vector", lambda v: -v)))  # ids of two vectors
+    pairs = q.select("query_id", (F.col("query_id") % 7).cast("int").alias("key")).unionByName(q.limit(2).select("query_id", F.lit(3).alias("key")))  # some keys missing, some pairs twice
+    y = x.select(F.col("label").alias("key"), "vector")
+    rows = lambda df: sorted(tuple(round(c, 9) if isinstance(c, float) else c for c in r) for r in df.collect())
+    for kind in ("cos", "l2sq"):
+        got = knn.key_distances(q.select("query_id", "vector"), y, pairs, kind)
+        want = knn.pairwise(q.select(F.col("query_id").alias("key"), "vector"), y, pairs.select(F.col("query_id").alias("left_key"), F.col("key").alias("right_key")), kind)
+        assert [str(r) for r in rows(got)] == [str(r) for r in rows(want)] and got.columns == ["query_id", "key", "n", "mean", "min", "max"]
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        t = x.select(F.col("id").alias("key"), "vector", "g")
+        found = within(q, t, "g", 0.9, kind)
+        joined = q.withColumnRenamed("vector", "q").join(t, "g").select("query_id", "key", metrics.metric(kind)(F.col("q"), F.col("vector")).alias("distance")).filter("distance <= 0.9")
+        assert rows(found) == rows(joined) and found.count() > 10 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert within(q.limit(0), t, "g", 0.9).count() == 0

@@ -179,19 +179,60 @@ def search(
     return ranked(pairs, k, tuple(groups)).select("query_id", "rank", "key", "distance", *groups[1:])
 
 
+def near(queries: DataFrame, vectors: DataFrame, bucket: str, radius: float, kind: str = "cos") -> DataFrame:
+    """(query_id, key, distance) of all vectors of a query's bucket within radius; kind: one with a matrix form.
+
+    The queries are taken in the order of their buckets, so that most blocks meet few of them; nothing is shuffled."""
+    kinds, name = dict(vectors.dtypes), ALIASES.get(kind, kind)
+    x = vectors.filter(f"vector IS NOT NULL AND `{bucket}` IS NOT NULL").select("key", F.col("vector").cast("array<double>"), bucket)
+    asked = queries.filter(f"vector IS NOT NULL AND `{bucket}` IS NOT NULL").select(F.struct(F.col(bucket).cast(kinds[bucket]).alias("bucket"), "query_id").alias("query_id"), "vector")
+    ids_kind = dict(queries.dtypes)["query_id"]
+    parts = []
+    for ids, q in query_blocks(asked, BLOCK):
+        of: dict = {}
+        for i, (b, _) in enumerate(ids):
+            of.setdefault(b, []).append(i)
+        names = pa.array([i[1] for i in ids], to_arrow_type(queries.schema["query_id"].dataType))
+
+        def run(batches, of={b: np.array(i) for b, i in of.items()}, q=np.asarray(q, dtype=float), names=names):
+            for batch in batches:
+                codes = batch.column(2).dictionary_encode()
+                code = codes.indices.to_numpy(zero_copy_only=False)
+                x = matrix(batch.column(1), q.shape[1])
+                for g, b in enumerate(codes.dictionary.to_pylist()):
+                    at, rows = of.get(b), np.flatnonzero(code == g)
+                    if at is None:
+                        continue
+                    step = max(16, CELLS // 4 // len(at))
+                    for start in range(0, len(rows), step):
+                        part = rows[start : start + step]
+                        d = distances(name, q[at], x[part])
+                        i, j = np.nonzero(d <= radius)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(at[i])), batch.column(0).take(pa.array(part[j])), pa.array(d[i, j])], names=["query_id", "key", "distance"])
+
+        rows = x.filter(F.col(bucket).isin(list(of))) if len(of) <= 100 else x
+        parts.append(rows.mapInArrow(run, f"query_id {ids_kind}, key {kinds['key']}, distance double"))
+    if not parts:
+        return queries.sparkSession.createDataFrame([], f"query_id {ids_kind}, key {kinds['key']}, distance double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of queries, in order. All blocks are in the plan that uses them, so a query set has to fit the driver."""
-    ids, rows = [], []
+    """Blocks of queries, in order. All blocks are in the plan that uses them, so a query set has to fit the driver. An id of several columns stays a row."""
+    ids, rows, named = [], [], list if queries.schema["query_id"].dataType.typeName() == "struct" else np.array
     for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator():
         if rows and len(r.vector) != len(rows[0]):
             raise ValueError(f"vectors have different numbers of dimensions: {sorted({len(r.vector), len(rows[0])})}")
         ids.append(r.query_id)
         rows.append(r.vector)
         if len(ids) == block:
-            yield np.array(ids), np.array(rows)
+            yield named(ids), np.array(rows)
             ids, rows = [], []
     if ids:
-        yield np.array(ids), np.array(rows)
+        yield named(ids), np.array(rows)
 
 
 def sharded(queries: DataFrame, shards: list[DataFrame], k: int, kind: str = "cos") -> DataFrame:
@@ -211,7 +252,47 @@ def pairwise(left: DataFrame, right: DataFrame, pairs: DataFrame, kind: str = "c
 
 
 def key_distances(queries: DataFrame, vectors: DataFrame, pairs: DataFrame, kind: str = "cos") -> DataFrame:
-    """(query_id, key, n, mean, min, max) of each query vector to all vectors of a key; pairs (query_id, key). A missing key: n is 0, the rest null."""
-    q = queries.select(F.col("query_id").alias("left_key"), "vector").withColumnRenamed("left_key", "key")
-    found = pairwise(q, vectors, pairs.select(F.col("query_id").alias("left_key"), F.col("key").alias("right_key")), kind)
-    return found.withColumnsRenamed({"left_key": "query_id", "right_key": "key"})
+    """(query_id, key, n, mean, min, max) of each query vector to all vectors of a key; pairs (query_id, key). A missing key: n is 0, the rest null.
+
+    With a matrix form and whole keys, blocks of pairs are broadcast as in a search, in the order of their keys; a task sums up its rows for
+    each pair of the block, and only those sums are shuffled. Queries and pairs have to fit the driver."""
+    name, whole = ALIASES.get(kind, kind) if isinstance(kind, str) else None, ("tinyint", "smallint", "int", "bigint")
+    if name not in MATRIX or not {dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["key"], *dict(pairs.dtypes).values()} <= {*whole}:
+        q = queries.select(F.col("query_id").alias("left_key"), "vector").withColumnRenamed("left_key", "key")
+        found = pairwise(q, vectors, pairs.select(F.col("query_id").alias("left_key"), F.col("key").alias("right_key")), kind)
+        return found.withColumnsRenamed({"left_key": "query_id", "right_key": "key"})
+    x = vectors.filter("vector IS NOT NULL").select(F.col("key").cast("long"), F.col("vector").cast("array<double>"))
+    parts = [pairs.select("query_id", "key", F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(c) for c in ("total", "min", "max")])]
+    asked = pairs.join(queries.filter("vector IS NOT NULL"), "query_id").filter("key IS NOT NULL").select(F.struct("key", "query_id").alias("query_id"), "vector")
+    for ids, q in query_blocks(asked, BLOCK):
+        keys, names = (np.array([i[c] for i in ids], dtype=np.int64) for c in (0, 1))
+        parts.append(x.filter(F.col("key").between(int(keys[0]), int(keys[-1]))).mapInArrow(_key_sums(keys, names, np.asarray(q, dtype=float), name), "query_id long, key long, n long, total double, min double, max double"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    sums = every.groupBy("query_id", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("min").alias("min"), F.max("max").alias("max"))
+    kinds = dict(pairs.dtypes)
+    return sums.select(F.col("query_id").cast(kinds["query_id"]), F.col("key").cast(kinds["key"]), "n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean"), "min", "max")
+
+
+def _key_sums(keys: np.ndarray, names: np.ndarray, q: np.ndarray, kind: str):
+    """mapInArrow over (key, vector): number, sum, least and largest of the distances of each pair; keys ascend."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, low, high = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys)), np.full(len(keys), np.nan), np.full(len(keys), -np.inf)
+        for batch in batches:
+            x, key = matrix(batch.column(1), q.shape[1]), batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True]) if len(order) else []
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                here = slice(*(int(np.searchsorted(keys, key[order[start]], side)) for side in ("left", "right")))
+                step = max(16, CELLS // max(1, here.stop - here.start))
+                for at in range(start, stop, step) if here.stop > here.start else ():
+                    d = distances(kind, q[here], x[order[at : min(at + step, stop)]])
+                    n[here] += d.shape[1]
+                    total[here] += d.sum(axis=1)
+                    low[here], high[here] = np.fmin(low[here], np.fmin.reduce(d, axis=1)), np.maximum(high[here], d.max(axis=1))
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in (names, keys, n, total, low, high)], names=["query_id", "key", "n", "total", "min", "max"])
+
+    return run

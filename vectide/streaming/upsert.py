@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from vectide.functions.metrics import metric
+from vectide.functions.metrics import ALIASES, metric
+from vectide.operators.knn import MATRIX, near
 
 
 def upserts(stream: DataFrame, path: str) -> DataStreamWriter:
@@ -27,6 +28,10 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def within(stream: DataFrame, table: DataFrame, bucket: str, radius: float, kind: str = "cos") -> DataFrame:
-    """Neighbours within radius of streamed (query_id, vector, bucket) rows among a static table's rows of the same bucket."""
+    """Neighbours within radius of streamed (query_id, vector, bucket) rows among a static table's rows of the same bucket.
+
+    Where the rows are no stream, they are a query set: with a matrix form, blocks of it are broadcast as in a search, and the table stays where it is."""
+    if not stream.isStreaming and ALIASES.get(kind, kind) in MATRIX:
+        return near(stream, table, bucket, radius, kind)
     q = stream.select("query_id", F.col("vector").alias("q"), bucket)
     return q.join(table, bucket).select("query_id", "key", metric(kind)(F.col("q"), F.col("vector")).alias("distance")).filter(F.col("distance") <= radius)
