@@ -534,3 +534,13 @@ def test_distances_to_keys_and_within_a_radius_without_a_join(spark, monkeypatch
         joined = q.withColumnRenamed("vector", "q").join(t, "g").select("query_id", "key", metrics.metric(kind)(F.col("q"), F.col("vector")).alias("distance")).filter("distance <= 0.9")
         assert rows(found) == rows(joined) and found.count() > 10 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert within(q.limit(0), t, "g", 0.9).count() == 0
+
+
+def test_hamming_takes_a_batch_at_once(monkeypatch):
+    monkeypatch.setattr(strings, "STEP", 3)
+    a, b = ["école", "", None, "abc", "naïve", "", "€uro", "x" * 90], ["écolé", "ab", "x", "abd", "naive", "", "euro", None]
+    want = [[None if x is None or y is None else sum(u != v for u, v in zip(x, y)) + abs(len(x) - len(y)) for x, y in zip(p, q)] for p, q in ((a, b), *[[[t if t is None else t.encode() for t in s] for s in (a, b)]])]
+    for by_bytes in (False, True):
+        assert strings._differing(by_bytes)(pa.array(a), pa.array(b)).to_pylist() == want[by_bytes]
+        assert strings._differing(by_bytes)(pa.array(a)[2:], pa.array(b)[2:]).to_pylist() == want[by_bytes][2:]
+    assert strings._differing(True)(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
